@@ -10,13 +10,22 @@ from __future__ import annotations
 
 def registered() -> dict:
     """Query name -> callable(spark, sf_dir)."""
-    from . import block_names, chat_tools, mix_schedule, secret_links
+    import corpus_pipeline
+
+    from . import bestfit_pack, block_names, chat_tools, dart_minhash, huffman_ids, language_spans, mix_schedule, quality_votes, secret_links, suffix_windows
 
     return {
+        "op1_suffix_array_dedup": suffix_windows.query,
+        "op2_quality_rules": quality_votes.query,
+        "op3_best_fit_packing": bestfit_pack.query,
         "op4_mix_sources": mix_schedule.query,
         "op5_chat_formatting": chat_tools.query,
+        "op6_token_binary": huffman_ids.query,
         "op7_secret_scan": secret_links.query,
+        "op8_language_id": language_spans.query,
         "op9_exact_dedup": block_names.query,
+        "op10_dart_minhash": dart_minhash.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
