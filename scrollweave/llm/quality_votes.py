@@ -31,6 +31,8 @@ from .common import settle
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twice", "n_upper", "n_letters", "n_shouts", "n_ends")
 MIN_WORDS, MAX_REPEAT = 20, 30
 KEEP = 0.5
+#: The most of good texts that a rule may call bad.
+MISFIRE = 0.001
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,11 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "n_words", 0.02, 0.08),
-    Rule("repeats", "n_repeat_words", "n_words", 0.03, 0.12),
+    Rule("repeats", "n_repeat_words", "n_words", 0.25, 0.29),
     Rule("twice", "n_twice", "n_words", 0.03, 0.08),
     Rule("capitals", "n_upper", "n_letters", 0.12, 0.2),
     Rule("shouts", "n_shouts", "n_words", 0.02, 0.08),
-    Rule("lines", "n_dup_lines", "n_lines", 0.0, 0.15, 4),
+    Rule("lines", "n_dup_lines", "n_lines", 0.25, 0.4, 4),
     Rule("sentences", "n_ends", "n_words", 0.03, 0.01, 40),
     Rule("long_words", "word_chars", "n_words", 9.0, 14.0),
 )
@@ -136,14 +138,17 @@ class Model:
         return math.log(self.prior / (1 - self.prior)), [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in self.told]
 
 
-def learn(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> Model:
+def learn(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 500, misfire: float = MISFIRE) -> Model:
     """EM over (votes, documents) from the belief that rules are mostly right.
 
-    Pseudo-counts keep rules that never vote at what was believed, and all
-    probabilities within (0, 1). Without documents the beliefs stay.
+    Two classes that explain the votes could be any; what makes one of them
+    "good" is that rules are written so that they call at most ``misfire`` of
+    good texts bad. Pseudo-counts keep rules that never vote at what was
+    believed, and all probabilities within (0, 1). Without documents the
+    beliefs stay.
     """
     rules = len(patterns[0][0]) if patterns else len(RULES)
-    believed, strength, prior = np.array([0.95, 0.7]), 10.0, 0.8
+    believed, strength, prior = np.array([1 - misfire, 0.7]), 10.0, 0.8
     told = np.tile(believed, (rules, 1))
     if not patterns:
         return Model(prior, tuple(map(tuple, told.tolist())))
@@ -158,6 +163,8 @@ def learn(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200)
         for k, p in enumerate((post, 1 - post)):
             weight = (p * count)[:, None] * cast
             new[:, k] = ((weight * good).sum(0) + strength * believed[k]) / (weight.sum(0) + strength)
+        new[:, 0] = np.maximum(new[:, 0], 1 - misfire)
+        new[:, 1] = np.minimum(new[:, 1], 1 - 4 * misfire)
         moved, told = np.abs(new - told).max(), new
         if moved < 1e-9:
             break
