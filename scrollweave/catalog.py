@@ -1,19 +1,420 @@
-"""All queries of the engine, with their SQL."""
+"""All queries of the engine, with their SQL where SQL can say them.
+
+Each entry runs over whole tables; see :mod:`scrollweave.plans.views` for the
+inputs.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import similarity as S
+from .functions import text as T
+from .operators import dedup, formats, frames, jobs, layout, recognize, transcript
+from .plans import pipeline, sql, views
+from .streaming.scroll import scroll_dedup_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(said: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, d: wide(f(spark, d))
+        if said:
+            SQL[f.__name__] = said
+        return f
+
+    return add
+
+
+def wide(df: DataFrame) -> DataFrame:
+    """Whole numbers as long."""
+    return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind in ("int", "smallint", "tinyint") or kind.startswith("decimal")} or {df.columns[0]: F.col(df.columns[0])})
+
+
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return transcript.parse(views.lines(spark, d))
+
+
+# Recordings and frames
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, error FROM validated")
+def video_validate(spark, d):
+    return frames.validate(views.videos(spark, d)).select("video_id", "error")
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, width::BIGINT AS width, height::BIGINT AS height, fps, frame_count::BIGINT AS frame_count, CASE WHEN fps > 0 THEN frame_count / fps ELSE 0.0::DOUBLE END AS duration_seconds FROM videos")
+def video_info(spark, d):
+    return frames.info(views.videos(spark, d)).select("video_id", "width", "height", "fps", "frame_count", "duration_seconds")
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, frame_number::BIGINT AS frame_number, timestamp_seconds FROM frames")
+def frame_sampling(spark, d):
+    return frames.sample(views.videos(spark, d), 2.0)
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, frame_number::BIGINT AS frame_number, timestamp_seconds FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS n FROM frames) WHERE n <= 3")
+def max_frames_limit(spark, d):
+    return frames.limit_frames(frames.sample(views.videos(spark, d), 2.0), 3)
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, frame_number::BIGINT AS frame_number, timestamp_seconds FROM frames WHERE frame_number = 30")
+def single_frame(spark, d):
+    return frames.single_frame(frames.sample(views.videos(spark, d), 2.0), 30)
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, rate, floor(CASE WHEN fps > 0 THEN frame_count / fps ELSE 0 END * rate)::BIGINT AS frames FROM videos, (SELECT unnest([1, 2, 3, 5])::BIGINT AS rate)")
+def estimated_frames(spark, d):
+    return frames.estimate_frames(views.videos(spark, d))
+
+
+@query(f"WITH {sql.VIDEOS} SELECT video_id, frame_number::BIGINT AS frame_number, {sql.clock('floor(timestamp_seconds)::BIGINT')} AS clock, {sql.duration('timestamp_seconds * 500')} AS duration, {sql.clock('floor(timestamp_seconds)::BIGINT')} || ',' || lpad(floor((timestamp_seconds % 1) * 1000)::BIGINT::VARCHAR, 3, '0') AS srt FROM frames")
+def frame_clocks(spark, d):
+    t = F.col("timestamp_seconds")
+    return frames.sample(views.videos(spark, d), 2.0).select("video_id", "frame_number", T.clock(t).alias("clock"), T.duration(t * 500).alias("duration"), T.srt_clock(t).alias("srt"))
+
+
+def _next_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = views.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+_PAIRS = "p AS (SELECT x.vec_id, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"
+
+
+@query(f"WITH {_PAIRS}, u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT vec_id, round((corr(x, y) + 1) / 2, 6) AS similarity FROM u GROUP BY vec_id")
+def frame_similarity_hist(spark, d):
+    return _next_vectors(spark, d).select("vec_id", F.round(frames.frame_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(f"WITH {_PAIRS}, u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT vec_id, round(greatest(0.0, 1 - avg((x - y) * (x - y)) / (255.0 * 255.0)), 9) AS similarity FROM u GROUP BY vec_id")
+def frame_similarity_mse(spark, d):
+    return _next_vectors(spark, d).select("vec_id", F.round(frames.frame_similarity(F.col("a"), F.col("b"), "mse"), 9).alias("similarity"))
+
+
+@query()
+def skip_similar(spark, d):
+    e = views.table(spark, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame_number"), F.col("embedding").alias("vector"))
+    return frames.skip_similar(e, threshold=0.6)
+
+
+# Regions
+
+
+@query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, count(*) FILTER (confidence >= 0.5) AS n_regions, count(*) FILTER (confidence >= 0.5) > 0 AS has_text FROM regions GROUP BY video_id, frame_number")
+def confidence_filter(spark, d):
+    r = views.regions(spark, d)
+    kept = layout.confident(r).groupBy(*layout.FRAME).agg(F.count(F.lit(1)).alias("n_regions"))
+    every = r.select(*layout.FRAME).distinct()
+    return every.join(kept, list(layout.FRAME), "left").select(*layout.FRAME, F.coalesce("n_regions", F.lit(0)).cast("long").alias("n_regions"), (F.coalesce("n_regions", F.lit(0)) > 0).alias("has_text"))
+
+
+@query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, sum(x + w // 2)::BIGINT AS center_x, sum(y + h // 2)::BIGINT AS center_y, sum(w * h)::BIGINT AS area FROM regions GROUP BY video_id, frame_number")
+def region_geometry(spark, d):
+    return layout.geometry(views.regions(spark, d)).groupBy(*layout.FRAME).agg(*(F.sum(c).alias(c) for c in ("center_x", "center_y", "area")))
+
+
+@query(f"WITH RECURSIVE {sql.REGIONS}, {sql.lines_of('confidence >= 0.5', '> 20')}, t AS (SELECT video_id, frame_number, line_no, string_agg(text, ' ' ORDER BY x, y, idx) AS line FROM lined GROUP BY ALL) SELECT video_id, frame_number, string_agg(line, chr(10) ORDER BY line_no) AS full_text FROM t GROUP BY video_id, frame_number")
+def reading_order(spark, d):
+    return layout.read_order(views.regions(spark, d)).filter("n_regions > 0").select(*layout.FRAME, "full_text")
+
+
+@query(f"WITH RECURSIVE {sql.REGIONS}, {sql.lines_of('true', '>= 20')}, b AS (SELECT video_id, frame_number, line_no, greatest(0, min(x) - 5) AS x, greatest(0, min(y) - 5) AS y, least(640, max(x + w) + 5) AS r, least(480, max(y + h) + 5) AS s FROM lined GROUP BY ALL) SELECT video_id, frame_number, line_no::BIGINT AS line_no, x::BIGINT AS x, y::BIGINT AS y, (r - x)::BIGINT AS w, (s - y)::BIGINT AS h FROM b WHERE r - x > 20 AND s - y > 10")
+def bbox_merge(spark, d):
+    return layout.merge_lines(views.regions(spark, d), 640, 480)
+
+
+@query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, round(coalesce(avg(confidence) FILTER (confidence >= 0.5), 0), 9) AS average_confidence FROM regions GROUP BY video_id, frame_number")
+def average_confidence(spark, d):
+    return layout.read_order(views.regions(spark, d)).select(*layout.FRAME, F.round("average_confidence", 9).alias("average_confidence"))
+
+
+# Text
+
+
+@query(f"SELECT doc_id, {sql.norm('text')} AS norm, {sql.count_words('text')}::BIGINT AS n_words FROM documents")
+def normalize_text(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"), T.word_count(F.col("text")).alias("n_words"))
+
+
+@query(f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{T.WS}]+') AS w FROM documents) SELECT doc_id, array_to_string(w[4:], ' ') AS rest, len(list_distinct(list_transform(w, lambda x: lower(x))))::BIGINT AS unique_words FROM w")
+def word_functions(spark, d):
+    t = F.col("text")
+    return views.table(spark, d, "documents").select("doc_id", T.skip_words(t, F.lit(3)).alias("rest"), F.size(F.array_distinct(F.transform(T.words(t), F.lower))).alias("unique_words"))
+
+
+@query(f"WITH {sql.LINES} SELECT video_id, line_no, regexp_extract(line, '({T.TIME})', 1) AS t, CASE WHEN regexp_matches(line, '{T.TIME}') THEN {sql.seconds(f"regexp_extract(line, '({T.TIME})', 1)")} ELSE 0 END AS seconds, {sql.initials('line')} AS initials, {sql.speaker('line')} AS speaker, {sql.clean('line')} AS cleaned FROM lines")
+def line_predicates(spark, d):
+    line = F.col("line")
+    return views.lines(spark, d).select("video_id", "line_no", T.first_time(line).alias("t"), T.time_seconds(T.first_time(line)).alias("seconds"), T.is_initials(line).alias("initials"), T.is_speaker(line).alias("speaker"), T.clean_speaker(line).alias("cleaned"))
+
+
+# Similarity
+
+
+_NEXT = "n AS (SELECT x.p_partkey AS k, x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
+
+
+def _next_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = views.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"))
+    return p.join(p.select((F.col("k") - 1).alias("k"), F.col("a").alias("b")), "k")
+
+
+@query(f"WITH {_NEXT} SELECT k, {sql.ratio('a', 'b')} AS ratio FROM n")
+def indel_ratio(spark, d):
+    return _next_parts(spark, d).select("k", S.indel_ratio(F.col("a"), F.col("b"), False).alias("ratio"))
+
+
+@query(f"WITH {_NEXT} SELECT k, {sql.ratio('a', 'b')} AS ratio FROM n")
+def indel_ratio_native(spark, d):
+    return _next_parts(spark, d).select("k", S.ratio_native(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@query(f"SELECT x.n_nationkey::BIGINT AS i, y.n_nationkey::BIGINT AS j, {sql.ratio('lower(x.n_name)', 'lower(y.n_name)')} AS similarity FROM nation x, nation y")
+def similarity_matrix(spark, d):
+    return dedup.similarity_matrix(views.table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("text")))
+
+
+@query(f"SELECT n_nationkey::BIGINT AS id, n_name AS line FROM nation WHERE NOT EXISTS (SELECT 1 FROM nation o WHERE o.n_nationkey < nation.n_nationkey AND o.n_regionkey = nation.n_regionkey AND false) AND NOT EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey = nation.n_regionkey AND {sql.ratio('lower(r.r_name)', 'lower(nation.n_name)')} > 0.5)")
+def fuzzy_anti_lines(spark, d):
+    current = views.table(spark, d, "nation").select(F.col("n_regionkey").alias("video_id"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("line"))
+    known = views.table(spark, d, "region").select(F.col("r_regionkey").alias("video_id"), F.col("r_name").alias("line"))
+    return dedup.fuzzy_anti(current, known, 0.5).select("id", "line")
+
+
+def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_text(spark, d).select("video_id", "frame_number", F.col("full_text").alias("b"))
+    return f.withColumn("a", F.lag("b").over(Window.partitionBy("video_id").orderBy("frame_number")))
+
+
+@query()
+def find_overlap(spark, d):
+    return _turn_pairs(spark, d).select("video_id", "frame_number", S.find_overlap(F.col("a"), F.col("b")).alias("o")).select("video_id", "frame_number", "o.position", "o.length")
+
+
+@query()
+def find_new_content(spark, d):
+    return _turn_pairs(spark, d).select("video_id", "frame_number", S.find_new_content(F.col("a"), F.col("b")).alias("new"))
+
+
+# Scrolling
+
+
+@query()
+def scroll_dedup(spark, d):
+    return dedup.scroll_dedup(views.frames_text(spark, d))
+
+
+@query()
+def dedup_stats(spark, d):
+    f = views.frames_text(spark, d)
+    return dedup.dedup_result(f, dedup.scroll_dedup(f))
+
+
+@query()
+def dedup_simple(spark, d):
+    return dedup.simple_dedup(views.frames_text(spark, d).select("video_id", F.col("frame_number").alias("pos"), F.col("full_text").alias("text")))
+
+
+@query(f"WITH {sql.FRAMES_TEXT} SELECT video_id, frame_number, coalesce(string_agg(t, chr(1)) OVER (PARTITION BY video_id ORDER BY frame_number ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS recent FROM (SELECT video_id, frame_number, {sql.strip('full_text')} AS t FROM ft) WHERE t <> ''")
+def recent_window(spark, d):
+    return dedup.recent_window(views.frames_text(spark, d)).select("video_id", "frame_number", F.array_join("recent", "\x01").alias("recent"))
+
+
+@query(f"WITH {sql.FRAMES_TEXT}, r AS (SELECT video_id, frame_number, string_agg(t, chr(10)) OVER (PARTITION BY video_id ORDER BY frame_number ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent FROM (SELECT video_id, frame_number, {sql.strip('full_text')} AS t FROM ft) WHERE t <> '') SELECT video_id, frame_number, coalesce(len(list_filter(list_distinct(list_transform(string_split(recent, chr(10)), lambda x: {sql.norm('x')})), lambda x: x <> '')), 0)::BIGINT AS n_known FROM r")
+def known_lines_set(spark, d):
+    return dedup.known_lines(views.frames_text(spark, d))
+
+
+@query()
+def cross_video_dedup(spark, d):
+    texts = views.raw_texts(spark, d).select(F.col("video_id").alias("pos"), F.col("raw_text").alias("text"))
+    return dedup.cross_dedup(texts)
+
+
+@query(f"WITH {sql.LINES} SELECT video_id AS pos, count(*)::BIGINT AS n_lines FROM lines WHERE {sql.strip('line')} <> '' GROUP BY video_id")
+def union_lines(spark, d):
+    texts = views.raw_texts(spark, d).select(F.col("video_id").alias("pos"), F.col("raw_text").alias("text"))
+    return dedup.union_lines(texts).groupBy("pos").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query()
+def scroll_dedup_streaming(spark, d):
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='scrollweave-')}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    frames_ = views.frames_text(spark, d)
+    frames_.write.parquet(f"{base}/in")
+    live = spark.readStream.schema(frames_.schema).parquet(f"{base}/in")
+    out = scroll_dedup_stream(live)
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+# Transcripts
+
+
+@query(f"WITH {sql.ENTRIES} SELECT video_id, entry_no, speaker, \"timestamp\", timestamp_seconds, text FROM entries")
+def parse_entries(spark, d):
+    return transcript.parse_entries(views.lines(spark, d)).drop("confidence")
+
+
+@query(f"WITH RECURSIVE {sql.MERGED} SELECT video_id, entry_no, speaker, \"timestamp\", timestamp_seconds, text FROM merged")
+def merge_consecutive(spark, d):
+    return merged(spark, d).drop("confidence")
+
+
+@query(f"WITH RECURSIVE {sql.MERGED} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY first) AS position, speaker FROM (SELECT video_id, speaker, min(entry_no) AS first FROM merged WHERE speaker <> '' GROUP BY ALL)")
+def speakers(spark, d):
+    return transcript.speakers(merged(spark, d))
+
+
+@query(f"WITH RECURSIVE {sql.MERGED} SELECT video_id, entry_no, text FROM merged WHERE speaker = 'Bob Jones'")
+def entries_by_speaker(spark, d):
+    return transcript.by_speaker(merged(spark, d), "Bob Jones").select("video_id", "entry_no", "text")
+
+
+@query(f"WITH {sql.ENTRIES}, c AS (SELECT video_id, avg((line_no % 10) / 10) AS confidence FROM lines GROUP BY video_id) SELECT e.video_id, e.entry_no, round(c.confidence, 9) AS confidence FROM entries e JOIN c USING (video_id)")
+def parse_confidence(spark, d):
+    lines = views.lines(spark, d).withColumn("confidence", (F.col("line_no") % 10) / 10)
+    return transcript.parse_with_confidence(lines, merge=False).select("video_id", "entry_no", F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"WITH RECURSIVE {sql.STATS} SELECT video_id, speakers, messages, word_count, unique_words, character_count, average_confidence FROM stats")
+def transcript_stats(spark, d):
+    return transcript.statistics(merged(spark, d))
+
+
+@query(f"WITH RECURSIVE {sql.STATS} SELECT count(*) FILTER (video_id % 5 <> 0) AS succeeded, count(*) FILTER (video_id % 5 = 0) AS failed FROM meta")
+def batch_summary(spark, d):
+    jobs_ = views.meta(spark, d).select("video_id", F.when(F.col("video_id") % 5 == 0, "failed").alias("error"))
+    return transcript.batch_summary(transcript.batch_rows(transcript.statistics(merged(spark, d)), jobs_))
+
+
+@query(f"WITH RECURSIVE {sql.STATS} SELECT s.video_id, s.messages, s.word_count, {sql.count_words('raw_text')}::BIGINT AS raw_words, frames_processed, frames_with_text FROM stats s JOIN meta USING (video_id) JOIN raw USING (video_id)")
+def job_stats(spark, d):
+    stats = transcript.statistics(merged(spark, d))
+    out = stats.join(views.meta(spark, d), "video_id").join(views.raw_texts(spark, d), "video_id")
+    return out.select("video_id", "messages", "word_count", T.word_count(F.col("raw_text")).alias("raw_words"), "frames_processed", "frames_with_text")
+
+
+# Formats
+
+
+def _outputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return merged(spark, d), views.meta(spark, d), views.raw_texts(spark, d)
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS},
+b AS (SELECT video_id, string_agg('**' || speaker || '** (' || "timestamp" || ')' || chr(10) || text || chr(10), chr(10) ORDER BY entry_no) AS blocks FROM merged GROUP BY video_id)
+SELECT video_id, array_to_string(['# Meeting Transcript', '', '**Source**: ' || source_file, '**Duration**: ' || {sql.duration('duration_seconds')}, '**Date Extracted**: ' || left(extraction_timestamp, 10), '**OCR Engine**: ' || ocr_engine, '',
+ '## Summary', '', '- **Speakers**: ' || coalesce(speakers, 0), '- **Messages**: ' || coalesce(messages, 0), '- **Word Count**: ' || coalesce(word_count, {sql.count_words('raw_text')}), '', '---', '',
+ CASE WHEN blocks IS NOT NULL THEN '## Transcript' || chr(10) || chr(10) || blocks ELSE '## Extracted Text' || chr(10) || chr(10) || '{formats.RAW_MARKDOWN}' || chr(10) || chr(10) || {sql.strip('raw_text')} || chr(10) END,
+ '---', '', '{formats.FOOTER}'], chr(10)) AS content
+FROM meta JOIN raw USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN stats USING (video_id)"""
+)
+def format_markdown(spark, d):
+    return formats.markdown(*_outputs(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS},
+b AS (SELECT video_id, string_agg('[' || "timestamp" || '] ' || speaker || ':' || chr(10) || '  ' || text || chr(10), chr(10) ORDER BY entry_no) AS blocks FROM merged GROUP BY video_id)
+SELECT video_id, array_to_string(['Source: ' || source_file, 'Duration: ' || {sql.duration('duration_seconds')}, '', repeat('-', 50), '',
+ CASE WHEN blocks IS NOT NULL THEN blocks ELSE '{formats.RAW_TEXT}' || chr(10) || chr(10) || {sql.strip('raw_text')} || chr(10) END], chr(10)) AS content
+FROM meta JOIN raw USING (video_id) LEFT JOIN b USING (video_id)"""
+)
+def format_text(spark, d):
+    return formats.plain_text(*_outputs(spark, d))
+
+
+_CUES = f"""cues AS (SELECT video_id, entry_no AS cue_no, {sql.clock('timestamp_seconds')} || ',000' AS cue_start, {sql.clock('coalesce(lead(timestamp_seconds) OVER (PARTITION BY video_id ORDER BY entry_no), timestamp_seconds + 5)')} || ',000' AS cue_end,
+  CASE WHEN speaker <> '' THEN '[' || speaker || '] ' || text ELSE text END AS body FROM merged)"""
+
+
+@query(f"WITH RECURSIVE {sql.MERGED}, {_CUES} SELECT * FROM cues")
+def srt_cues(spark, d):
+    return formats.cues(merged(spark, d))
+
+
+@query(f"WITH RECURSIVE {sql.MERGED}, {_CUES} SELECT video_id, string_agg(cue_no || chr(10) || cue_start || ' --> ' || cue_end || chr(10) || body || chr(10), chr(10) ORDER BY cue_no) AS content FROM cues GROUP BY video_id")
+def format_srt(spark, d):
+    return formats.subtitles(merged(spark, d))
+
+
+@query()
+def format_json(spark, d):
+    return formats.json_rows(*_outputs(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS},
+b AS (SELECT video_id, string_agg('[' || "timestamp" || '] ' || speaker || ':' || chr(10) || '  ' || text || chr(10), chr(10) ORDER BY entry_no) AS blocks FROM merged GROUP BY video_id)
+SELECT array_to_string([repeat('=', 60), 'COMBINED MEETING TRANSCRIPTS', repeat('=', 60), 'Videos: ' || count(*), 'Deduplication: Disabled', '',
+ string_agg(repeat('-', 60) || chr(10) || 'FILE: ' || video_id || chr(10) || repeat('-', 60) || chr(10) || chr(10) || CASE WHEN blocks IS NOT NULL THEN blocks ELSE '{formats.RAW_TEXT}' || chr(10) || chr(10) || {sql.strip('raw_text')} || chr(10) END, chr(10) ORDER BY video_id)], chr(10)) AS content
+FROM raw LEFT JOIN b USING (video_id)"""
+)
+def combined_output(spark, d):
+    texts = views.raw_texts(spark, d).withColumn("pos", F.col("video_id"))
+    return formats.combined(texts, merged(spark, d), kind="text")
+
+
+# Engines and jobs
+
+
+@query("SELECT name, requires_gpu FROM (VALUES ('easyocr', false), ('tesseract', false), ('surya', true), ('doctr', false), ('trocr', true)) t(name, requires_gpu)")
+def engine_registry(spark, d):
+    return recognize.engines(spark).select("name", "requires_gpu")
+
+
+@query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, count(*)::BIGINT AS n FROM regions WHERE confidence >= 0.7 GROUP BY ALL")
+def recognize_table(spark, d):
+    r = views.regions(spark, d).withColumn("timestamp_seconds", F.col("frame_number") * 0.5)
+    shown = r.select("video_id", "frame_number", "timestamp_seconds").distinct()
+    return recognize.recognize_from_table(shown, r, 0.7).groupBy("video_id", "frame_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+_JOBS = "j AS (SELECT o_orderkey AS job_id, ['pending', 'processing', 'complete', 'error'][(o_orderkey % 4 + 1)::INT] AS status, 'v' || o_orderkey AS filename, CASE WHEN o_orderkey % 8 = 2 THEN 'done' END AS result FROM orders WHERE o_orderkey % 3 <> 0), q AS (SELECT o_orderkey AS item_id, o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderkey * 7919 % 1000003, o_orderkey) AS position FROM orders)"
+
+
+@query(f"WITH {_JOBS} SELECT item_id, q.job_id, position, coalesce(status, 'queued') AS status FROM q LEFT JOIN j ON j.job_id = q.job_id")
+def queue_status(spark, d):
+    return jobs.queue_status(*views.jobs(spark, d))
+
+
+@query(f"WITH {_JOBS} SELECT item_id, position, filename, result FROM q JOIN j ON j.job_id = q.job_id WHERE status = 'complete' AND result IS NOT NULL")
+def queue_results(spark, d):
+    return jobs.results(*views.jobs(spark, d))
+
+
+@query(f"WITH {_JOBS} SELECT job_id, CASE WHEN status IN ('pending', 'error') THEN 'processing' ELSE status END AS status FROM j")
+def job_moves(spark, d):
+    _, j = views.jobs(spark, d)
+    return jobs.move(j, j.select("job_id", F.lit("processing").alias("new_status"))).select("job_id", "status")
+
+
+@query()
+def whole_pipeline(spark, d):
+    r = views.regions(spark, d).withColumn("timestamp_seconds", F.col("frame_number") * 0.5)
+    return pipeline.transcripts(r)["statistics"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Statistics of the transcripts of all conversations."""
+    return QUERIES["transcript_stats"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
