@@ -233,7 +233,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 fresh = np.ones(len(state), bool)
                 fresh[1:] = (state[1:] != state[:-1]) | (words.docs[1:] != words.docs[:-1])
                 at = np.flatnonzero(fresh)
-                last = np.append(at[1:], len(state)) - 1
+                last = np.append(at[1:], len(state))[: len(at)] - 1
                 per = np.concatenate([[0], np.cumsum(np.bincount(words.docs[at], minlength=n))]).astype(np.int32)
                 said = pa.array(names).take(pa.array(state[at]))
                 spans = pa.StructArray.from_arrays([pa.array(words.begin[at]), pa.array(words.begin[last] + words.size[last]), said], ["start", "end", "lang"])

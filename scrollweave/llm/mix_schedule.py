@@ -50,7 +50,7 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def schedule(spark: SparkSession, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """slot, source, r: slot takes block r of source.
+    """slot, source, r: slot takes block r of source. Blocks that the schedule left out have later slots, by their r.
 
     ``plan`` has source and words (what the source is to give).
     """

@@ -1,0 +1,271 @@
+"""Operators on Spark: against plain versions, SQL, and odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from scrollweave import llm
+from scrollweave.llm import bestfit_pack, block_names, chat_tools, dart_minhash, huffman_ids, language_spans, mix_schedule, quality_votes, secret_links, suffix_windows, tokens
+
+from ..conftest import DATA, duck_rows, rows
+from .test_numpy import plain_counts, plain_removed
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(duck):
+    return duck.sql("SELECT doc_id, text, lang, source FROM documents ORDER BY doc_id").fetchall()
+
+
+def run(spark, name):
+    return {r.doc_id: r for r in llm.registered()[name](spark, DATA).collect()}
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracles()))
+def test_same_rows_as_sql(spark, duck, name):
+    assert rows(llm.registered()[name](spark, DATA)) == duck_rows(duck, llm.oracles()[name])
+
+
+def test_suffix_windows(spark, docs):
+    got = run(spark, "op1_suffix_array_dedup")
+    raw = [t.encode() for _, t, *_ in docs]
+    for (i, *_), t, gone in zip(docs, raw, plain_removed(raw, [d[0] for d in docs], 50), strict=True):
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_quality(spark, duck, docs):
+    got = run(spark, "op2_quality_rules")
+    for i, t, *_ in docs:
+        g = got[i]
+        assert [g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words] == plain_counts(t)
+        assert g.base_failed == (g.n_words < 20 or 100 * g.n_repeat_words > 30 * g.n_words) and not (g.kept and g.base_failed)
+    labels = [(q, got[i]) for i, q in duck.sql("SELECT doc_id, quality FROM labels").fetchall() if not got[i].base_failed]
+    assert np.mean([bool(q) == g.kept for q, g in labels]) > 0.97
+    kept = {r.doc_id for r in quality_votes.good_documents(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert kept == {i for i, g in got.items() if g.kept}
+
+
+@pytest.fixture(scope="module")
+def ids(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.encode_special_tokens = True
+    return {d[0]: np.array(t.encode(d[1], add_special_tokens=False).ids + [2], "<u4") for d in docs}
+
+
+def check_packing(found, ids):
+    for key, own in ids.items():
+        mine = sorted((r for r in found if r.doc_id == key), key=lambda r: r.piece)
+        assert sum(r.length for r in mine) == len(own) and [r.piece for r in mine] == list(range(len(mine)))
+        for r in mine:
+            assert r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+            assert r.length == 1024 or r.piece == 0
+    held = collections.defaultdict(list)
+    for r in found:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    return len(held)
+
+
+def test_packing(spark, ids):
+    found = llm.registered()["op3_best_fit_packing"](spark, DATA).collect()
+    assert check_packing(found, ids) <= -(-sum(map(len, ids.values())) // 1024) * 1.05 + 1
+
+
+def test_huffman_files(spark, docs, ids):
+    got, start = run(spark, "op6_token_binary"), 0
+    for i, *_ in docs:
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids[i]), zlib.crc32(ids[i].tobytes()))
+        start += len(ids[i])
+
+
+def test_mix_comes_near_its_targets(spark):
+    got = mix_schedule.mix(spark.read.parquet(f"{DATA}/documents.parquet")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
+    assert all(abs(r.taken - r.target) <= 1 and r.over <= 0 for r in got.collect())
+
+
+def test_schedule_interleaves(spark):
+    plan = spark.createDataFrame([("a", 300), ("b", 100), (None, 200)], "source string, words long")
+    slots = sorted(((r.slot, r.source, r.r) for r in mix_schedule.schedule(spark, plan, 10).collect()), key=lambda x: x[0])
+    assert len(slots) == 60
+    for source, n in (("a", 30), ("b", 10), (None, 20)):
+        own = [(at, r) for at, (_, x, r) in enumerate(slots) if x == source]
+        assert [r for _, r in own] == list(range(n))
+        assert all(abs(k - s * n / 60) <= 3 for k, (s, _) in enumerate(own))
+
+
+def plain_secrets(text):
+    kinds = (("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))
+    found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, ok) in enumerate(kinds) for m in re.finditer(p, text or "") if ok(m)]
+    return [sum(x[1] == k for x in found) for k in range(3)], ",".join(x[2] for x in sorted(found))
+
+
+def test_secrets(spark, docs):
+    odd = [(-1, 'é password: token = abcdefgh; API_KEY="a.b-c/d=" passwd=12345 secret=abcdef'), (-2, "AKIAAKIA1234 AKIA" + "Z" * 16 + "é" + "0" * 23 + " " + "a1" * 12), (-3, None), (-4, ""), (-5, "x " * 9000 + "token=abcdef12345678")]
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r for r in secret_links.scan(df).collect()}
+    for i, t in [(d[0], d[1]) for d in docs] + odd:
+        counts, said = plain_secrets(t)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts
+        assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert set(filter(None, said.split(","))) <= set(got[i].spans.split(","))
+
+
+def test_weak_parts_need_one_another(spark):
+    key, part, url = "AKIA" + "A1" * 8, "Ab9/" * 10, "https://db.example.org/x"
+    texts = [f"{key} {part} {url}", f"{part} {url}", f"{key} {url}", f"{key} {'x ' * 300}{part}", f"{key} {part}"]
+    got = [r.n_weak for r in secret_links.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [2, 0, 0, 0, 1]
+
+
+def test_languages_of_held_out_texts(spark, docs):
+    got = run(spark, "op8_language_id")
+    for i, *_ in docs:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i].score <= 1
+    assert np.mean([got[i].lang_pred == lang for i, _, lang, _ in docs if got[i].held_out]) > 0.97
+
+
+def classes_of(texts):
+    sets = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        sets.append(set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_near_copies(spark, docs):
+    got = run(spark, "op10_dart_minhash")
+    want = classes_of([d[1] for d in docs])
+    assert [got[d[0]].class_id for d in docs] == [docs[k][0] for k in want]
+    assert all(got[d[0]].class_size == want.count(k) for d, k in zip(docs, want, strict=True))
+
+
+def test_group_whose_copies_only_resemble_their_source(spark):
+    rng = np.random.default_rng(0)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(400, 8, replace=False):
+            words[at] = f"c{k}x{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"z{k}y{i}" for i in range(50)) for k in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dart_minhash.classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_of(texts)
+
+
+def test_weights_by_count(spark):
+    df = spark.createDataFrame([(1, "a b c d e " * 20), (2, "a b c d e " * 24), (3, "a b c d e")], "doc_id long, text string")
+    same = {r.doc_id: r.class_id for r in dart_minhash.classes(df, weight="count").collect()}
+    assert same == {1: 1, 2: 1, 3: 3}
+
+
+def test_chat(spark):
+    call = lambda i, name, args, after="[]": f'<tool_call>{{"id":"{i}","name":"{name}","arguments":{args},"after":{after}}}</tool_call>'
+    turns = [
+        (1, 0, "user", "hi"),
+        (1, 1, "assistant", "ok " + call("a", "search", '{"query":"x", "limit": 3}') + call("b", "fetch", '{"url": 1}', '["a"]')),
+        (1, 2, "tool", '<tool_result>{"id":"a","content":"r"}</tool_result>'),
+        (1, 3, "assistant", call("c", "search", "{}", '["b","zz"]') + call("a", "nope", "{}") + "<tool_call>{broken</tool_call>"),
+        (2, 0, "assistant", call("x", "calculator", '{"expression":"1","more":2}', '["y"]') + call("y", "calculator", '{"expression":"1"}', '["x"]')),
+        (None, None, None, None),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.id, r.name): r for r in chat_tools.linked_calls(df.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).collect()}
+    a, b, c = got[1, 1, "a", "search"], got[1, 1, "b", "fetch"], got[1, 3, "c", "search"]
+    assert (a.status, a.fault, a.level, a.arguments, a.result_turn) == ("linked", None, 0, '{"limit":3,"query":"x"}', 2)
+    assert (b.status, b.fault, b.level) == ("unanswered", "type:url", 1)
+    assert (c.fault, c.level) == ("missing:query", 2)
+    assert got[1, 3, "a", "nope"].status == "repeated_id" and got[1, 3, None, None].status == "no_id"
+    assert got[2, 0, "x", "calculator"].level is None and got[2, 0, "x", "calculator"].fault == "unexpected_argument"
+    out = {(r.conv_id, r.turn): r for r in chat_tools.format_turns(df).collect()}
+    assert len(out) == len(turns) and out[1, 0].message == '{"content":"hi","role":"user"}'
+    assert (out[1, 1].n_calls, out[1, 1].n_linked, out[1, 1].n_faults, out[1, 2].n_results) == (2, 1, 1, 1)
+    assert out[1, 1].message.startswith('{"content":"ok","role":"assistant","tool_calls":[{"arguments":"{\\"limit\\":3')
+    assert chat_tools.format_turns(df.limit(0)).collect() == []
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, sha string, kept boolean, row string, n long"
+
+
+def odd_rows(spark):
+    long = " ".join(f"word{i % 5000}" for i in range(60000))
+    texts = [None, "", " \n", "same text here", "same text here", "é" * 40, "x y z " * 10, long, long + " end", "The quick brown fox jumps over the lazy dog. " * 3]
+    found = [(i, t, None if i % 3 else "en", None if i % 4 else "s", None, 1, "q", True, "r", 2) for i, t in enumerate(texts)]
+    found += [found[4], found[4], (None, "same text here", "en", "s", 1, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(found, ODD)
+
+
+PER_ROW = {
+    "op1": suffix_windows.remove_repeats,
+    "op2": quality_votes.judge,
+    "op4": mix_schedule.mix,
+    "op6": huffman_ids.round_trip,
+    "op7": secret_links.scan,
+    "op8": language_spans.identify,
+    "op9": block_names.exact_groups,
+    "op10": dart_minhash.classes,
+}
+
+
+@pytest.mark.parametrize("name", sorted(PER_ROW))
+def test_odd_rows_and_no_rows(spark, name):
+    df = odd_rows(spark)
+    got = PER_ROW[name](df).collect()
+    assert len(got) == 14 and sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    assert PER_ROW[name](df.limit(0)).collect() == []
+
+
+def test_odd_rows_packed(spark):
+    found = bestfit_pack.pack(odd_rows(spark)).collect()
+    assert sum(r.piece == 0 for r in found) == 14
+    assert bestfit_pack.pack(odd_rows(spark).limit(0)).collect() == []
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs = odd_rows(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert block_names.drop_copies(docs).count() == len({r.text or "" for r in docs.collect()})
+
+
+def test_pipeline_against_plain_stages(spark, docs, ids):
+    spark_docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    judged = run(spark, "op2_quality_rules")
+    left = [d for d in docs if judged[d[0]].kept]
+    last = {}
+    for d in left:
+        last[d[1]] = max(last.get(d[1], d[0]), d[0])
+    left = [d for d in left if last[d[1]] == d[0]]
+    label = classes_of([d[1] for d in left])
+    left = [d for k, d in enumerate(left) if label[k] == k]
+    kept = spark_docs.filter(F.col("doc_id").isin([d[0] for d in left]))
+    times = collections.Counter({r.doc_id: int(r.taken / r.size + 0.5) for r in mix_schedule.mix(kept).collect() if r.size})
+    found = corpus_pipeline.run(spark, DATA).collect()
+    assert collections.Counter(r.doc_id for r in found if r.piece == 0) == +times
+    assert {r.ids_crc32 for r in found if r.piece == 0} == {zlib.crc32(ids[i][: (len(ids[i]) - 1) % 1024 + 1].tobytes()) for i in +times}
