@@ -6,7 +6,6 @@ inputs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from .functions import similarity as S
 from .functions import text as T
 from .operators import dedup, formats, frames, jobs, layout, recognize, transcript
 from .plans import pipeline, sql, views
+from .shared import folder
 from .streaming.scroll import scroll_dedup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,7 +248,7 @@ def union_lines(spark, d):
 
 @query()
 def scroll_dedup_streaming(spark, d):
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='scrollweave-')}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     frames_ = views.frames_text(spark, d)
     frames_.write.parquet(f"{base}/in")
     live = spark.readStream.schema(frames_.schema).parquet(f"{base}/in")

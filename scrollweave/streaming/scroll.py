@@ -2,7 +2,9 @@
 
 State per recording: what it has shown, the recent texts, how many blocks. A
 micro-batch's frames are taken in order of their number. A recording that sends
-nothing for ``idle_minutes`` (processing time) is forgotten.
+nothing for ``idle_minutes`` (processing time) is forgotten, if that is given; a
+query that is to end by itself (``availableNow``) must not give it, since Spark
+goes on to run batches for timeouts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from ..operators.dedup import BLOCKS, ScrollState
 STATE = "shown string, recent array<string>, seq int"
 
 
-def _step(threshold: float, min_new: int, window: int, idle_ms: int):
+def _step(threshold: float, min_new: int, window: int, idle_ms: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -32,13 +34,16 @@ def _step(threshold: float, min_new: int, window: int, idle_ms: int):
                 out.append((key[0], seq, new, r.frame_number, r.timestamp_seconds, r.average_confidence, True))
                 seq += 1
         state.update((scroll.shown, scroll.recent, seq))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
     return step
 
 
-def scroll_dedup_stream(frames: DataFrame, threshold: float = 0.85, min_new: int = 10, window: int = 3, idle_minutes: int = 60) -> DataFrame:
+def scroll_dedup_stream(frames: DataFrame, threshold: float = 0.85, min_new: int = 10, window: int = 3, idle_minutes: int | None = None) -> DataFrame:
     """BLOCKS of a stream of frames, appended as they come."""
     rows = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_number").cast("int").alias("frame_number"), F.col("timestamp_seconds").cast("double").alias("timestamp_seconds"), "full_text", F.col("average_confidence").cast("double").alias("average_confidence"))
-    return rows.groupBy("video_id").applyInPandasWithState(_step(threshold, min_new, window, idle_minutes * 60_000), BLOCKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
+    step = _step(threshold, min_new, window, idle_minutes * 60_000 if idle_minutes else None)
+    return rows.groupBy("video_id").applyInPandasWithState(step, BLOCKS, STATE, "append", timeout)
