@@ -403,8 +403,7 @@ def job_moves(spark, d):
 
 @query()
 def whole_pipeline(spark, d):
-    r = views.regions(spark, d).withColumn("timestamp_seconds", F.col("frame_number") * 0.5)
-    return pipeline.transcripts(r)["statistics"]
+    return pipeline.transcripts(views.turn_regions(spark, d))["statistics"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
