@@ -10,11 +10,12 @@ costs as many darts as it has weight (or, if short, as its signature needs),
 not shingles times coordinates.
 
 Signatures are joined by bands. Distinct shingle sets are classes first, so
-copies are one row from there on. In a band's bucket, pivots meet the members
-(exact similarities, from the sets); links make components; a bucket whose
-members are in one component is settled, the others get four times as many
-pivots in the next round, until none is left. So no link is lost within
-buckets, and groups of near copies never form all pairs.
+copies are one row from there on. Each member of shared buckets meets one other
+first (exact similarity, from the sets): of those that lead its buckets, the
+one that shares buckets with most. Links make components. A bucket whose members
+are in one component is settled; in the others a pivot meets the members, then
+four times as many, until none is left. So no link is lost within buckets, and
+groups of near copies don't form all pairs.
 
 Scale: sets are read again only for members of shared buckets. Buckets, pivots
 and components are joins and aggregations by key with partial sums; a hot
@@ -219,31 +220,39 @@ def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     ``members`` has bucket and rid; ``sets`` has rid, items, loads.
     """
     spark = members.sparkSession
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("rid", "bucket"), "rid")
-    open_rows = settle(members.withColumn("nth", F.row_number().over(order)), "members")
-    links = settle(spark.createDataFrame([], "a long, b long"), "links")
-    tested = links
-    labels = spark.createDataFrame([], "v long, label long")
-    pivots, before = 1, 0
+    # Members that share most come first: the text that a group's copies come from is closer to them than they are.
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    shares = members.join(sizes, "bucket").groupBy("rid").agg(F.sum("size").alias("shares"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("shares"), "rid")
+    rows = settle(members.join(shares, "rid").select("bucket", "rid", "shares", F.row_number().over(order).alias("nth")), "members")
+    both = (F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        one = sets.select(F.col("rid").alias("a"), F.col("items").alias("ia"), F.col("loads").alias("la"))
+        two = sets.select(F.col("rid").alias("b"), F.col("items").alias("ib"), F.col("loads").alias("lb"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib", "la", "lb").mapInArrow(_alike(similar), "a long, b long")
+
+    # Each member first meets one other: the one that shares most of all that lead its buckets.
+    lead = rows.filter("nth = 1").select("bucket", F.col("rid").alias("p"), F.col("shares").alias("ps"))
+    best = rows.join(lead, "bucket").filter("rid <> p").groupBy("rid").agg(F.max(F.struct("ps", "p")).alias("best"))
+    tested = settle(best.select("rid", F.col("best.p").alias("p")).select(*both).distinct(), "tested")
+    links = settle(alike(tested), "links")
+    labels = settle(components(links), "labels")
+    rows, pivots, before = rows.drop("shares"), 1, 0
     while True:
-        here = open_rows.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        here = rows.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         mixed = here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("nth").alias("most")).filter(f"lo < hi and most > {before}").select("bucket")
-        open_rows = settle(here.join(mixed, "bucket").select("bucket", "rid", "nth", "label"), "open")
-        first = open_rows.filter(f"nth > {before} and nth <= {pivots}").select("bucket", F.col("rid").alias("p"), F.col("label").alias("pl"), F.col("nth").alias("pn"))
-        pairs = open_rows.join(first, "bucket").filter(f"label <> pl and (nth > {pivots} or nth > pn)")
-        pairs = pairs.select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
+        rows = settle(here.join(mixed, "bucket").select("bucket", "rid", "nth", "label"), "open")
+        first = rows.filter(f"nth > {before} and nth <= {pivots}").select("bucket", F.col("rid").alias("p"), F.col("label").alias("pl"), F.col("nth").alias("pn"))
+        pairs = rows.join(first, "bucket").filter(f"label <> pl and (nth > {pivots} or nth > pn)").select(*both).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        open_rows = open_rows.drop("label")
-        if pairs.isEmpty():
-            if open_rows.filter(f"nth > {pivots}").isEmpty():
-                return labels
-        else:
-            one = sets.select(F.col("rid").alias("a"), F.col("items").alias("ia"), F.col("loads").alias("la"))
-            two = sets.select(F.col("rid").alias("b"), F.col("items").alias("ib"), F.col("loads").alias("lb"))
-            good = pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib", "la", "lb").mapInArrow(_alike(similar), "a long, b long")
-            links = settle(links.unionByName(good), "links")
+        rows = rows.drop("label")
+        if not pairs.isEmpty():
+            links = settle(links.unionByName(alike(pairs)), "links")
             tested = settle(tested.unionByName(pairs), "tested")
             labels = settle(components(links), "labels")
+        elif rows.filter(f"nth > {pivots}").isEmpty():
+            return labels
         before, pivots = pivots, pivots * 4
 
 
