@@ -135,36 +135,43 @@ class Decoder:
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian, 4 bytes each): one row for each row of ``docs``."""
+    """doc_id, ids (little-endian, of 2 or 4 bytes as the vocabulary needs): one row for each row of ``docs``."""
+    kind = encoder(path).kind
+    width = int(kind[-1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, text in chunks(batch.column(1)):
                 ids, offsets = encoder(path).encode(text)
-                raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
                 yield pa.record_batch([batch.column(0)[lo:hi], raw], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for row in batch.column(0):
-            got = np.bincount(np.frombuffer(row.as_buffer(), "<u4"))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
-    used = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
+def _counted(kind: str):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                got = np.bincount(np.frombuffer(row.as_buffer(), kind))
+                if len(got) > len(total):
+                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+                total[: len(got)] += got
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
+
+    return counted
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Write ``folder``/book (id, bits) and ``folder``/blocks (part, seq, block) of all rows of ``docs``."""
     spark = docs.sparkSession
-    ids = settle(encoded(docs, path or default_path(), id_col, text_col), "ids")
-    counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    path = path or default_path()
+    kind = encoder(path).kind
+    ids = settle(encoded(docs, path, id_col, text_col), "ids")
+    counts = ids.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         count[r["id"]] = r["n"]
@@ -185,7 +192,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
 
         for batch in batches:
             for key, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(row.as_buffer(), "<u4")
+                got = np.frombuffer(row.as_buffer(), kind)
                 if held and size + len(got) > BLOCK_IDS:
                     yield flush()
                     seq, before, keys, held, size = seq + 1, before + size, [], [], 0

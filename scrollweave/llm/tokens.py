@@ -23,6 +23,8 @@ SOLID[0x21:0x7F] = True
 SOLID[0xC3:0xE0] = True
 #: A worker forgets its pieces beyond so many ids.
 MOST_IDS = 8_000_000
+#: Pieces in one call, and pieces in the dict before they join the arrays.
+TOGETHER, NEWEST = 64, 1 << 17
 
 _encoders: dict[str, Encoder] = {}
 
@@ -46,17 +48,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        #: The narrowest type that holds all ids.
+        self.kind = "<u2" if len(self.widths) <= 1 << 16 else "<u4"
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begins: list[int] = [0]
+        """Known pieces: sorted keys with their numbers, and the newest in a dict; ids of number k are ids[begins[k]:begins[k + 1]]."""
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.newest: dict[int, int] = {}
+        self.ids, self.begins, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that aren't known."""
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.numbers[at[hit]]
+        rest = np.flatnonzero(out < 0)
+        out[rest] = np.fromiter((self.newest.get(k, -1) for k in keys[rest].tolist()), np.int64, len(rest))
+        return out
+
+    def _add(self, keys: np.ndarray, every: np.ndarray, sizes: np.ndarray) -> None:
+        begin, n = int(self.begins[self.count]), self.count
+        while begin + len(every) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(keys) + 1 > len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        self.ids[begin : begin + len(every)] = every
+        self.begins[n + 1 : n + len(keys) + 1] = begin + np.cumsum(sizes)
+        self.count += len(keys)
+        self.newest.update(zip(keys.tolist(), range(n, self.count), strict=True))
+        if len(self.newest) > NEWEST:
+            both = np.concatenate([self.keys, np.fromiter(self.newest.keys(), np.uint64, len(self.newest))])
+            numbers = np.concatenate([self.numbers, np.fromiter(self.newest.values(), np.int32, len(self.newest))])
+            order = np.argsort(both, kind="stable")
+            self.keys, self.numbers, self.newest = both[order], numbers[order], {}
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> None:
+        """Encode pieces and remember them, in their order.
+
+        Pieces that begin as a cut does can stand one after the other in one
+        call, ``TOGETHER`` of them; the bytes of their ids tell them apart.
+        """
+        raw, sizes = data.tobytes(), stops - starts
+        cut_like = (data[starts] == 0x20) & (sizes > 1) & SOLID[data[np.minimum(starts + 1, len(data) - 1)]]
+        got: list[list[int] | np.ndarray | None] = [None] * len(starts)
+        joint = np.flatnonzero(cut_like)
+        groups = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
+        texts = [b"".join(raw[a:b] for a, b in zip(starts[g].tolist(), stops[g].tolist(), strict=True)) for g in groups]
+        alone = np.flatnonzero(~cut_like).tolist()
+        for g, found in zip(groups, self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            reach, ends = np.cumsum(self.widths[ids]), np.cumsum(sizes[g])
+            last = np.searchsorted(reach, ends)
+            if last[-1] >= len(reach) or (reach[last] != ends).any():  # bytes that aren't UTF-8
+                alone += g.tolist()
+                continue
+            for i, lo, hi in zip(g.tolist(), [0, *(last[:-1] + 1).tolist()], (last + 1).tolist(), strict=True):
+                got[i] = ids[lo:hi]
+        texts = [raw[starts[i] : stops[i]].decode("utf-8", "replace") for i in alone]
+        for i, found in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            got[i] = np.array(found.ids, np.uint32)
+        self._add(keys, np.concatenate(got), np.array([len(x) for x in got]))
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each document, and the offsets of the documents in them."""
         data, n = text.data, len(text.data)
-        if self.begins[-1] > MOST_IDS:
+        if self.begins[self.count] > MOST_IDS:
             self.forget()
         cut = np.zeros(n + 1, bool)
         cut[: n - 1] = (data[:-1] == 0x20) & SOLID[data[1:]] if n else False
@@ -71,20 +133,12 @@ class Encoder:
         codes, unique = pd.factorize(keys)
         first = np.zeros(len(unique), np.int64)
         first[codes[::-1]] = np.arange(len(keys))[::-1]
-        slots = np.fromiter((self.known.get(k, -1) for k in unique.tolist()), np.int64, len(unique))
+        slots = self._find(unique)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)]
-            for i, got in zip(new.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids, begin = got.ids, self.begins[-1]
-                while begin + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[begin : begin + len(ids)] = ids
-                self.known[int(unique[i])] = slots[i] = len(self.begins) - 1
-                self.begins.append(begin + len(ids))
-        begins = np.array(self.begins, np.int64)
-        own, size = begins[slots][codes], (begins[slots + 1] - begins[slots])[codes]
+            self._learn(data, starts[first[new]], stops[first[new]], unique[new])
+            slots[new] = np.arange(self.count - len(new), self.count)
+        own, size = self.begins[slots][codes], (self.begins[slots + 1] - self.begins[slots])[codes]
         # Ids before each piece, with an end id after each document.
         doc = text.doc_of(starts) if len(starts) else np.zeros(0, np.int64)
         per_doc = np.bincount(doc, size, text.n).astype(np.int64) + 1
