@@ -41,17 +41,25 @@ from .bytewise import BASE, Text, U, column_bytes, mix
 from .common import settle
 
 DEPTH = 50
-BATCH, PIECE, BUCKET = 8 << 20, 1 << 20, 512 << 20
+BATCH, PIECE, BUCKET = 4 << 20, 1 << 20, 512 << 20
 #: Stands for a null id, which is larger than any other.
 NULL = np.iinfo(np.int64).max
-SORT_AT_ONCE = 200_000
+SORT_AT_ONCE = 25_000
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position, as one number; beyond the end: 0."""
+    """The eight bytes from each position, as one number (beyond the end: 0): a view, eight numbers share each byte."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    return np.ndarray((len(data),), "<u8", padded.data, strides=(1,)).copy()
+    return np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
+
+
+def range_hashes(at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range of eight bytes or more; ``at`` is :func:`words_at`."""
+    h = size.astype(U)
+    for k in range(0, int(size.max(initial=0)), 8):
+        h = mix(h * BASE + at[start + np.minimum(k, size - 8)])
+    return h
 
 
 class Stretches:
@@ -68,7 +76,7 @@ class Stretches:
         depth, gram = self.depth, self.gram
         data = self.data[first : first + PIECE + depth - 1]
         n, grams, choice = len(data) - depth + 1, len(data) - gram + 1, depth - gram + 1
-        at = words_at(data)
+        at = words_at(data).copy()
         h = np.zeros(grams, U)
         for k in sorted({*range(0, gram - 7, 8), gram - 8}):
             h += at[k : k + grams]
@@ -135,8 +143,8 @@ class Batch:
         self.start, self.last, key = self.all.start[use], self.all.last[use], self.all.key[use]
         self.id = self.ids[self.all.doc[use]]
         end = self.last + self.depth
-        h = Text(self.data, self.offsets).hashes(self.start, end) if len(use) else np.zeros(0, U)
-        codes = same_bytes(self.data, self.start, end, h + key)
+        at = words_at(self.data)
+        codes = same_bytes(at, self.start, end - self.start, range_hashes(at, self.start, end - self.start) + key)
         _, first, self.content = np.unique(codes, return_index=True, return_inverse=True)
         # Numbered in the order of keys, as the stretches are.
         rank = np.argsort(np.argsort(first))
@@ -147,7 +155,7 @@ class Batch:
         np.minimum.at(self.least, self.content, self.id)
 
 
-def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+def same_bytes(at: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Codes that are equal for equal byte ranges. Ranges whose hash is another's but bytes are not get codes of their own."""
     if not len(h):
         return np.zeros(0, np.int64)
@@ -157,14 +165,13 @@ def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarr
     like[codes[::-1]] = np.arange(len(codes))[::-1]
     like = like[codes]
     rest = np.flatnonzero(like != np.arange(len(codes)))
-    wrong = rest[(end - start)[rest] != (end - start)[like[rest]]]
+    wrong = rest[size[rest] != size[like[rest]]]
     rest = np.setdiff1d(rest, wrong, assume_unique=True)
     if len(rest):
-        at, size = words_at(data), (end - start)[rest]
         differs = np.zeros(len(rest), bool)
-        for k in range(0, int(size.max()), 8):
+        for k in range(0, int(size[rest].max()), 8):
             # The last eight bytes again, instead of fewer: ranges are longer than that.
-            step = np.minimum(k, size - 8)
+            step = np.minimum(k, size[rest] - 8)
             differs |= at[start[rest] + step] != at[start[like[rest]] + step]
         wrong = np.append(wrong, rest[differs])
     codes[wrong] = len(unique) + np.arange(len(wrong))
@@ -315,11 +322,12 @@ def _smaller(depth: int):
 
 def smaller_suffixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, least: np.ndarray, depth: int) -> np.ndarray:
     """Bits of each stretch (start, size, anchor key, least id): suffix k also occurs with a smaller id."""
-    begin = int(start.min())
-    data, start = data[begin : int((start + size).max())], start - begin
+    own = np.cumsum(size) - size
+    data = data[np.repeat(start - own, size) + np.arange(int(size.sum()))]
+    start = own
     # Second digit: equal stretches.
-    h = Text(data, np.array([0, len(data)])).hashes(start, start + size)
-    codes = same_bytes(data, start, start + size, h + key.astype(U))
+    at = words_at(data)
+    codes = same_bytes(at, start, size, range_hashes(at, start, size) + key.astype(U))
     _, first, code = np.unique(codes, return_index=True, return_inverse=True)
     low = np.full(len(first), NULL)
     np.minimum.at(low, code, least)
@@ -333,13 +341,13 @@ def smaller_suffixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, key:
         owner = np.repeat(np.arange(len(mixed)), n)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         place = start[first[mixed]][owner] + k
-        group = radix(words_at(data), place, of[mixed][owner], depth)
-        at = np.flatnonzero(group >= 0)
-        if len(at):
+        group = radix(at, place, of[mixed][owner], depth)
+        same = np.flatnonzero(group >= 0)
+        if len(same):
             smallest = np.full(int(group.max()) + 1, NULL)
-            np.minimum.at(smallest, group[at], low[mixed][owner[at]])
+            np.minimum.at(smallest, group[same], low[mixed][owner[same]])
             least_of = np.full((len(first), int(many.max())), NULL)
-            least_of[mixed[owner[at]], k[at]] = smallest[group[at]]
+            least_of[mixed[owner[same]], k[same]] = smallest[group[same]]
             for j in range(least_of.shape[1]):
                 mask |= np.where(least_of[code, j] < least, U(1) << U(j), U(0))
     return mask.astype(np.uint32)
@@ -398,7 +406,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     form = "batch long, ids binary, sizes binary, text binary, n long"
     batches = settle(texts.mapInArrow(_packed(batch_bytes), form), "batches")
     total = batches.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     answer = "batch long, bucket int, answer binary"
     gather = lambda df, name: df.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
     anchors = batches.mapInArrow(_anchors(depth, buckets), "bucket int, batch long, keys binary, several binary")
