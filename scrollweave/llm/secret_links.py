@@ -20,8 +20,15 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-PART = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_.=-])"
-ENDPOINT = r"(?:https?|wss?|ftp)://[^\s\"'<>]+"
+#: A whole run of token characters with one that isn't punctuation: not the host or path of an address, nor a name that a value is assigned to. After a dot (the later parts of a JWT) only base64url; or the user of an address.
+_NAME = r"""[A-Za-z0-9_]++(?:=["']?|\x20+=\x20*["']?)[A-Za-z0-9+/_-]"""
+PART = (
+    rf"(?:(?<![A-Za-z0-9+/_.-])(?!(?<=:)//)(?!{_NAME})(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{{32,}}+"
+    r"|(?<=\.)(?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{32,}+(?![+/])"
+    r"|(?<=://)[A-Za-z0-9_-]{32,}+(?=@|:[^@/\s]*@))={0,2}"
+)
+#: Any scheme; the bound keeps long runs of letters from being tried from each of their characters.
+ENDPOINT = r"[A-Za-z][A-Za-z0-9+.-]{0,63}://[^\s\"'<>]+"
 KINDS = ("assign", "access", "hex", "part", "endpoint")
 SCOPE = 256
 
@@ -57,7 +64,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope
         some(0, ASSIGN, F.col("a"), 1),
         some(1, ACCESS, F.col("b")),
         some(2, HEX, F.col("c")),
-        some(3, PART, F.col("b") & F.col("text").rlike("[A-Za-z0-9+/]{32}")),
+        some(3, PART, F.col("b") & F.col("text").rlike("[A-Za-z0-9+/_-]{32}")),
         some(4, ENDPOINT, F.col("b") & F.col("text").contains("://")),
     ).dropDuplicates(["doc_id", "sha"])
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("found")) for k in range(len(KINDS))))
