@@ -54,6 +54,30 @@ def test_quality(spark, duck, docs):
     assert kept == {i for i, g in got.items() if g.kept}
 
 
+def test_rule_that_errs_on_many_good_texts_is_outvoted():
+    names = [r.name for r in quality_votes.RULES]
+    votes = lambda *bad: tuple(0 if n in bad else 1 for n in names)
+    odds = lambda model, v: model.weights()[0] + sum(w[x == 0] for w, x in zip(model.weights()[1], v, strict=True))
+    own = [(votes(), 8300), (votes("symbols"), 600), (votes("symbols", "sentences"), 100)]
+    for scale in (1, 1000):
+        scaled = lambda patterns: quality_votes.learn([(v, n * scale) for v, n in patterns])  # noqa: E731, B023
+        assert max(odds(scaled(own), v) for v in (votes("symbols"), votes("sentences"), votes("symbols", "sentences"))) < 0
+        for rule in set(names) - {"symbols"}:
+            model = scaled([*own, (votes(rule), 3000)])
+            assert odds(model, votes(rule)) > 0 > odds(model, votes("symbols"))
+
+
+def test_texts_that_only_the_sentences_rule_calls_bad(spark):
+    rows = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    verse = [" ".join(f"line{(i * 31 + k * 7) % 997}" + "\n" * (k % 9 == 8) for k in range(60)) for i in range(len(rows) // 3)]
+    df = spark.createDataFrame(list(enumerate(rows + verse)), "doc_id long, text string")
+    got = quality_votes.judge(df).filter(F.col("doc_id") >= len(rows)).collect()
+    assert {r.votes[[x.name for x in quality_votes.RULES].index("sentences")] for r in got} == {"b"}
+    assert all(r.kept for r in got)
+    kept = {r.doc_id for r in quality_votes.good_documents(df).collect()}
+    assert kept >= {r.doc_id for r in got}
+
+
 @pytest.fixture(scope="module")
 def ids(docs):
     from tokenizers import Tokenizer
