@@ -1,15 +1,16 @@
 """Token ids of whole texts with the tokenizers library, each piece encoded once.
 
 A byte-level BPE of this kind never merges across a space that a character
-other than white space follows: its pattern starts a new word there. Texts are
-cut at these places only, so the ids of the pieces, one after the other, are
-the ids of the text. A worker encodes each distinct piece once and looks the
-others up.
+other than white space follows: its pattern starts a new word there, but not
+before an added token (``<|endoftext|>``). Texts are cut at these places only,
+so the ids of the pieces, one after the other, are the ids of the text. A
+worker encodes each distinct piece once and looks the others up.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are text
+        #: Names of added tokens are these tokens in a text, too.
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"\x20(?=" + b"|".join(map(re.escape, added)) + b")") if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
@@ -122,6 +125,8 @@ class Encoder:
             self.forget()
         cut = np.zeros(n + 1, bool)
         cut[: n - 1] = (data[:-1] == 0x20) & SOLID[data[1:]] if n else False
+        if self.added is not None and n:
+            cut[[m.start() for m in self.added.finditer(data.tobytes())]] = False
         cut[text.offsets] = True
         # A space that ends a document is followed by another document, not by a word.
         ends_with_space = text.offsets[1:-1][data[text.offsets[1:-1] - 1] == 0x20] - 1 if n and text.n > 1 else np.zeros(0, np.int64)

@@ -118,6 +118,18 @@ def test_huffman_files(spark, docs, ids):
         start += len(ids[i])
 
 
+def test_names_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain, end = Tokenizer.from_file(tokens.default_path()), "<|endoftext|>"
+    texts = [f"a {end} b", f"a  {end}  b", f"a\n {end}{end} \n {end}\n", f" {end}", f"  {end} {end}", f"x{end}y <|endof", f"text|> {end[:-1]} {end}>", f"é {end} é ", "a b  ", f" {end} b"]
+    got = {r.doc_id: r for r in huffman_ids.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    for i, t in enumerate(texts):
+        own = plain.encode(t, add_special_tokens=False).ids + [tokens.END_ID]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    assert 50256 in plain.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_mix_comes_near_its_targets(spark):
     got = mix_schedule.mix(spark.read.parquet(f"{DATA}/documents.parquet")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
     assert all(abs(r.taken - r.target) <= 1 and r.over <= 0 for r in got.collect())
