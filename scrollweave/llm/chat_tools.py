@@ -110,7 +110,8 @@ def format_turns(conversations: DataFrame, schemas: dict[str, dict[str, tuple[st
     """conv_id, turn, role, n_calls, n_results, n_linked, n_faults, level, message: one row for each row of ``conversations``.
 
     message is canonical JSON: content (the text without its calls and results,
-    trimmed), results and tool_calls where there are any, role. Null texts and
+    trimmed), results and tool_calls where there are any, role. tool_calls come
+    by level, those in a cycle last, then by place. Null texts and
     roles count as empty; calls that are no JSON have null fields and status
     ``no_id``. Turns that repeat conversation, number and text share their
     calls. level is the highest of the turn's calls.
@@ -125,7 +126,7 @@ def format_turns(conversations: DataFrame, schemas: dict[str, dict[str, tuple[st
         F.count(F.when(F.col("status") == "linked", 1)).alias("n_linked"),
         F.count("fault").alias("n_faults"),
         F.max("level").alias("level"),
-        F.transform(F.sort_array(F.collect_list(F.struct("i", call.alias("call")))), lambda x: x["call"]).alias("tool_calls"),
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col("level").isNull().alias("cyclic"), "level", "i", call.alias("call")))), lambda x: x["call"]).alias("tool_calls"),
     )
     results = _parts(marked, "tool_result").groupBy(*(F.col(c).alias(f"r_{c}") for c in ("conv_id", "turn", "sha")))
     results = results.agg(F.count(F.lit(1)).alias("n_results"), F.transform(F.sort_array(F.collect_list(F.struct("i", F.struct("content", "id").alias("x")))), lambda x: x["x"]).alias("results"))

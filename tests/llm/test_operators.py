@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
@@ -267,6 +268,13 @@ def test_chat(spark):
     assert chat_tools.format_turns(df.limit(0)).collect() == []
 
 
+def test_calls_are_written_in_topological_order(spark):
+    call = lambda i, *after: f'<tool_call>{{"id":"{i}","name":"search","arguments":{{"query":"x"}},"after":{json.dumps(after)}}}</tool_call>'
+    text = call("x", "y") + call("c", "b") + call("y", "x") + call("b", "a") + call("a") + call("d")
+    (row,) = chat_tools.format_turns(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()
+    assert [c["id"] for c in json.loads(row.message)["tool_calls"]] == ["a", "d", "b", "c", "x", "y"]
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, sha string, kept boolean, row string, n long"
 
 
