@@ -9,47 +9,18 @@ no digest decides what is equal.
 Scale: the distinct blocks are pre-aggregated before the shuffle; a block that
 a third of all rows share is one row per map task there, and its rows in the
 join back are split by the skew join. After the first level only integers
-move. The number of levels is the logarithm of the longest text's blocks.
+move. The number of levels is the logarithm of the longest text's blocks. All
+of it is DataFrame operations; blocks are cut where texts are read.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle
 
-BLOCK_BYTES = 1024
-
-
-def _cut(block_bytes: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "sha", "n", "pos", "block"]
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                data = memoryview(text.as_buffer() or b"")
-                sha = hashlib.sha256(data).digest()
-                n = max(1, -(-len(data) // block_bytes))
-                for i in range(n):
-                    for column, value in zip(rows, (key, sha, n, i, bytes(data[i * block_bytes : (i + 1) * block_bytes])), strict=True):
-                        column.append(value)
-                    held += block_bytes
-                    if held > 8 << 20:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, TYPES, strict=True)], names)
-                        rows, held = [[], [], [], [], []], 0
-            if rows[0]:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, TYPES, strict=True)], names)
-
-    return cut
-
-
-TYPES = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+BLOCK_BYTES = 2048
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,30 +35,34 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, sha (its text's SHA-256), level, name.
+    """One row for each row of ``docs``: doc_id, sha (its text's SHA-256), row (its number), level, name.
 
     (level, name) is equal for equal texts only. A null text counts as empty;
     an empty text has one empty block. Repeated rows give repeated rows. The
-    digest only serves to tell rows with one id apart.
+    digest is for those who look rows up by text; nothing here compares it.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = texts.mapInArrow(_cut(block_bytes), "doc_id long, sha binary, n int, pos int, block binary")
-    level = settle(_named(blocks, ["block"]).drop("block"), "block-names")
-    rows = level.filter("pos = 0").select("doc_id", "sha")
+    data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.monotonically_increasing_id().alias("row"))
+    texts = texts.withColumn("n", F.greatest(F.lit(1), F.expr(f"cast((octet_length(data) + {block_bytes - 1}) div {block_bytes} as int)")))
+    head = F.when(F.col("pos") == 0, F.struct("doc_id", "sha"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("data"), i * block_bytes + 1, F.lit(block_bytes)))
+    blocks = texts.select("row", "n", "doc_id", F.unhex(F.sha2("data", 256)).alias("sha"), F.posexplode(cut).alias("pos", "block"))
+    level = settle(_named(blocks.select("row", "n", "pos", head.alias("head"), "block"), ["block"]).drop("block"), "block-names")
+    rows = level.filter("pos = 0").select("row", "head.doc_id", "head.sha")
     most = level.agg(F.max("n")).first()[0] or 1
-    done = [level.filter("n = 1").select("doc_id", "sha", F.lit(0).alias("level"), "name").distinct()]
+    level = level.select("row", "n", "pos", "name")
+    done = [level.filter("n = 1").select("row", F.lit(0).alias("level"), "name")]
     number = 0
     while most > 1:
         number, most = number + 1, (most + 1) // 2
-        pairs = level.filter("n > 1").groupBy("doc_id", "sha", F.expr("cast((n + 1) div 2 as int)").alias("n"), F.expr("cast(pos div 2 as int)").alias("pos"))
+        pairs = level.filter("n > 1").groupBy("row", F.expr("cast((n + 1) div 2 as int)").alias("n"), F.expr("cast(pos div 2 as int)").alias("pos"))
         pairs = pairs.agg(F.max(F.expr("if(pos % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(pos % 2 = 1, name, null)")), F.lit(-1)).alias("b"))
         level = settle(_named(pairs, ["a", "b"]).drop("a", "b"), "pair-names")
-        done.append(level.filter("n = 1").select("doc_id", "sha", F.lit(number).alias("level"), "name"))
+        done.append(level.filter("n = 1").select("row", F.lit(number).alias("level"), "name"))
     last = done[0]
     for more in done[1:]:
         last = last.unionByName(more)
-    last = last.withColumnsRenamed({"doc_id": "_d", "sha": "_s"})
-    return rows.join(last, rows.doc_id.eqNullSafe(last._d) & (rows.sha == last._s)).select("doc_id", "sha", "level", "name")
+    return rows.join(last, "row").select("doc_id", "sha", "row", "level", "name")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -99,12 +74,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result.
     """
     named = settle(identities(docs, id_col, text_col, block_bytes), "identities")
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # Rows that repeat an id and a text are told apart by a count, which is summed before it is dealt out.
-    copies = named.groupBy("doc_id", "sha", "level", "name").agg(F.count(F.lit(1)).alias("copies"))
-    each = copies.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))")))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    kept = F.col("row") == F.col("keep.row")
+    each = named.join(groups, ["level", "name"])
+    return each.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
