@@ -27,6 +27,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`settle` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the earlier rows of ``group``.
 

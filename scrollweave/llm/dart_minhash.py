@@ -11,16 +11,19 @@ not shingles times coordinates.
 
 Signatures are joined by bands. Distinct shingle sets are classes first, so
 copies are one row from there on. Each member of shared buckets meets one other
-first (exact similarity, from the sets): of those that lead its buckets, the
-one that shares buckets with most. Links make components. A bucket whose members
-are in one component is settled; in the others a pivot meets the members, then
-four times as many, until none is left. So no link is lost within buckets, and
-groups of near copies don't form all pairs.
-
-Scale: sets are read again only for members of shared buckets. Buckets, pivots
-and components are joins and aggregations by key with partial sums; a hot
-bucket is rows, not a list. Components are found by alternating large and small
-stars, a number of rounds that grows with the logarithm of a component's width.
+(exact similarity, from the sets): of those that lead its buckets, the one that
+shares buckets with most. These links are trees. A bucket whose members are in
+one tree is settled. Of the members of the others, all pairs of different trees
+that can be similar enough are found by their prefixes: rarest shingles first,
+two sets that share enough have one in common among the first few. So no link
+within buckets is lost, and groups of near copies don't form all pairs.
+
+Scale: sets are read again only for members of shared buckets. Buckets, leads
+and prefixes are joins and aggregations by key with partial sums; a hot bucket
+is rows, not a list. Trees are followed by pointers that double their reach,
+components found by alternating large and small stars: rounds that grow with
+the logarithm of a component's width. Tables of rounds go when the next is
+written.
 """
 
 from __future__ import annotations
@@ -32,14 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewise import BASE, Text, U, chunks, doc_key, mix, windows
-from .common import settle
+from .common import drop_settled, settle
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Sizes of sets fall into classes whose edges grow by this factor; bytes of text, and cells, that a worker takes at once.
+CLASS, CHUNK, CELLS = 1.05, 1 << 20, 1_000_000
 #: Distribution function of the number of darts in a cell (Poisson with mean 1).
 DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
 
@@ -81,7 +86,7 @@ def signatures(keys: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int,
     while todo.any():
         mine = np.flatnonzero(todo[docs])
         cells = (np.ceil(weights[mine]) * np.maximum(1, np.ceil(limit[docs[mine]]))).sum()
-        for part in np.array_split(mine, max(1, int(cells // 3_000_000))):
+        for part in np.array_split(mine, max(1, int(cells // CELLS))):
             _throw(keys[part], docs[part], weights[part], limit, rank, name)
         empty = todo & (rank == np.inf).any(1)
         out[todo & ~empty] = name[todo & ~empty]
@@ -131,7 +136,7 @@ def _digests(keys: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int) ->
 def _sketched(bands: int, rows: int, words: int, weight: str):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, text in chunks(batch.column(1)):
+            for lo, hi, text in chunks(batch.column(1), CHUNK):
                 keys, docs, weights = weighted(*shingles(text, words), weight)
                 n = hi - lo
                 sign = signatures(keys, docs, weights, n, bands * rows).reshape(n, bands, rows)
@@ -152,50 +157,29 @@ def _sketched(bands: int, rows: int, words: int, weight: str):
 
 
 def _sets(words: int, weight: str):
-    """Each distinct shingle set of a task once, as sorted 4-byte hashes and their weights."""
+    """Each distinct shingle set of a task once, as sorted 8-byte hashes; with ``count``, a shingle has one for each time it occurs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, text in chunks(batch.column(0)):
+            for lo, hi, text in chunks(batch.column(0), CHUNK):
                 keys, docs, weights = weighted(*shingles(text, words), weight)
                 n = hi - lo
                 one, two = _digests(keys, docs, weights, n)
-                short = (mix(keys) >> U(32)).astype(np.uint32)
-                order = np.lexsort((short, docs))
+                if weight != "set":
+                    times = weights.astype(np.int64)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    keys, docs = np.repeat(keys, times) + nth.astype(U) * BASE, np.repeat(docs, times)
+                items = mix(keys).view(np.int64)
+                order = np.lexsort((items, docs))
                 edge = np.searchsorted(docs[order], np.arange(n + 1))
-                short, heavy = short[order].astype("<u4"), weights[order].astype("<f4")
-                fresh = np.flatnonzero((edge[1:] > edge[:-1]) & ~pd.Series(one).duplicated().to_numpy())
-                raw = [short[edge[i] : edge[i + 1]].tobytes() for i in fresh]
-                load = [None if weight == "set" else heavy[edge[i] : edge[i + 1]].tobytes() for i in fresh]
-                yield pa.record_batch([pa.array(one.view(np.int64)[fresh]), pa.array(two.view(np.int64)[fresh]), pa.array(raw, pa.binary()), pa.array(load, pa.binary())], ["d1", "d2", "items", "loads"])
+                fresh = (edge[1:] > edge[:-1]) & ~pd.Series(one).duplicated().to_numpy()
+                use, size = np.repeat(fresh, np.diff(edge)), np.diff(edge)[fresh]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(items[order][use]))
+                yield pa.record_batch([pa.array(one.view(np.int64)[fresh]), pa.array(two.view(np.int64)[fresh]), lists], ["d1", "d2", "items"])
 
     return sets
 
 
-def similarity(a: bytes, b: bytes, wa: bytes | None, wb: bytes | None) -> float:
-    """Weighted Jaccard similarity of two sets as :func:`_sets` writes them."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if wa is None or wb is None:
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        return both / (len(x) + len(y) - both)
-    u, v = np.frombuffer(wa, "<f4").astype(float), np.frombuffer(wb, "<f4").astype(float)
-    _, i, j = np.intersect1d(x, y, return_indices=True)
-    both = np.minimum(u[i], v[j]).sum()
-    return float(both / (u.sum() + v.sum() - both))
-
-
-def _alike(similar: float):
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = [batch.column(i) for i in range(6)]
-            view = lambda s: s.as_buffer() if s.is_valid else None
-            stay = [similarity(p.as_buffer(), q.as_buffer(), view(wp), view(wq)) >= similar - 1e-9 for p, q, wp, wq in zip(c[2], c[3], c[4], c[5], strict=True)]
-            yield pa.record_batch([c[0], c[1]], ["a", "b"]).filter(pa.array(stay, pa.bool_()))
-
-    return alike
-
-
 def components(links: DataFrame) -> DataFrame:
     """v, label for each end of ``links`` (a, b): label is the smallest end of its component."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
@@ -207,53 +191,108 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(small, "u")
-        edges = settle(met.select("u", F.col("m").alias("v")).unionByName(met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct(), "edges")
+        after = settle(met.select("u", F.col("m").alias("v")).unionByName(met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct(), "edges")
+        drop_settled(edges)
+        edges = after
         if (now := mark(edges)) == last:
             break
         last = now
     return edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("label"))
 
 
-def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """v, label: components of the links of similarity ``similar`` or more within buckets.
+def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The ``pairs`` (a, b, and what else they have) whose sets have similarity ``similar`` or more."""
+    one = sets.select(F.col("rid").alias("a"), F.col("items").alias("ia"))
+    two = sets.select(F.col("rid").alias("b"), F.col("items").alias("ib"))
+    both = F.size(F.array_intersect("ia", "ib"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+    return met.filter(F.col("both") >= (similar - 1e-9) * (F.size("ia") + F.size("ib") - F.col("both"))).select(*pairs.columns)
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """a, b: for each member, the one that shares buckets with most of those that lead its buckets.
 
-    ``members`` has bucket and rid; ``sets`` has rid, items, loads.
+    The text that a group's copies come from is closer to them than they are to
+    one another, and shares most. ``b`` always shares more (or as much, with a
+    larger rid), so that the pairs form trees.
     """
-    spark = members.sparkSession
-    # Members that share most come first: the text that a group's copies come from is closer to them than they are.
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    shares = members.join(sizes, "bucket").groupBy("rid").agg(F.sum("size").alias("shares"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("shares"), "rid")
-    rows = settle(members.join(shares, "rid").select("bucket", "rid", "shares", F.row_number().over(order).alias("nth")), "members")
-    both = (F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("rid").alias("a"), F.col("items").alias("ia"), F.col("loads").alias("la"))
-        two = sets.select(F.col("rid").alias("b"), F.col("items").alias("ib"), F.col("loads").alias("lb"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib", "la", "lb").mapInArrow(_alike(similar), "a long, b long")
-
-    # Each member first meets one other: the one that shares most of all that lead its buckets.
-    lead = rows.filter("nth = 1").select("bucket", F.col("rid").alias("p"), F.col("shares").alias("ps"))
-    best = rows.join(lead, "bucket").filter("rid <> p").groupBy("rid").agg(F.max(F.struct("ps", "p")).alias("best"))
-    tested = settle(best.select("rid", F.col("best.p").alias("p")).select(*both).distinct(), "tested")
-    links = settle(alike(tested), "links")
-    labels = settle(components(links), "labels")
-    rows, pivots, before = rows.drop("shares"), 1, 0
+    shares = members.groupBy("rid").agg(F.sum("size").alias("shares"))
+    rows = members.join(shares, "rid").select("bucket", F.struct("shares", "rid").alias("own"))
+    lead = rows.groupBy("bucket").agg(F.max("own").alias("lead"))
+    best = rows.join(lead, "bucket").filter("own < lead").groupBy("own.rid").agg(F.max("lead").alias("lead"))
+    return best.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """v, label: the root of each node of the trees ``parents`` (a, b), by pointers that double their reach."""
+    up = settle(parents.select(F.col("a").alias("v"), F.col("b").alias("label")), "roots")
     while True:
-        here = rows.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        mixed = here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("nth").alias("most")).filter(f"lo < hi and most > {before}").select("bucket")
-        rows = settle(here.join(mixed, "bucket").select("bucket", "rid", "nth", "label"), "open")
-        first = rows.filter(f"nth > {before} and nth <= {pivots}").select("bucket", F.col("rid").alias("p"), F.col("label").alias("pl"), F.col("nth").alias("pn"))
-        pairs = rows.join(first, "bucket").filter(f"label <> pl and (nth > {pivots} or nth > pn)").select(*both).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        rows = rows.drop("label")
-        if not pairs.isEmpty():
-            links = settle(links.unionByName(alike(pairs)), "links")
-            tested = settle(tested.unionByName(pairs), "tested")
-            labels = settle(components(links), "labels")
-        elif rows.filter(f"nth > {pivots}").isEmpty():
-            return labels
-        before, pivots = pivots, pivots * 4
+        next_ = up.select(F.col("v").alias("w"), F.col("label").alias("top"))
+        higher = up.join(next_, up.label == F.col("w"), "left")
+        now = settle(higher.select("v", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")), "roots")
+        drop_settled(up)
+        up = now
+        if not up.filter("moved").limit(1).count():
+            return up.select("v", "label")
+
+
+def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """rid, label, item, class, probe, at, n: the prefixes of ``sets`` (rid, label, items) by which pairs can be found.
+
+    Items are ordered from the rarest. Two sets of n and m items that share o
+    have one of these among the first n - o + 1 of one and m - o + 1 of the
+    other. Sizes are cut into classes. A set stands as ``index`` in its own,
+    for sets as large or larger, and asks as ``probe`` in all classes of sets
+    that are as large or smaller, each with the o that this needs. Items of one
+    set only aren't kept, but have their places.
+    """
+    share = similar / (1 + similar)
+    each = sets.select("rid", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    common = each.groupBy("item").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    kept = each.join(common, "item").groupBy("rid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("order"))
+    size_class = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
+    need = lambda n, m: F.ceil(share * (n + m) - 1e-6)
+    n = F.col("n")
+    own = F.struct(size_class(n).alias("class"), F.lit(False).alias("probe"), (n - need(n, n) + 1).alias("first"))
+    least = lambda c: F.greatest(F.ceil(F.pow(F.lit(CLASS), c) - 1e-6), F.ceil(similar * n - 1e-6))
+    asked = F.transform(F.sequence(size_class(F.greatest(F.lit(1), F.ceil(similar * n - 1e-6))), size_class(n)), lambda c: F.struct(c.alias("class"), F.lit(True).alias("probe"), (n - need(n, least(c)) + 1).alias("first")))
+    rows = kept.withColumn("part", F.explode(F.concat(F.array(own), asked)))
+    lone = n - F.size("order")
+    rows = rows.select("rid", "label", "n", "part.class", "part.probe", lone.alias("lone"), F.posexplode(F.slice("order", 1, F.greatest(F.lit(0), F.col("part.first") - lone).cast("int"))).alias("pos", "x"))
+    return rows.select("rid", "label", "n", "class", "probe", (F.col("lone") + F.col("pos")).alias("at"), "x.item")
+
+
+def _candidates(sets: DataFrame, similar: float) -> DataFrame:
+    """a, b: all pairs of ``sets`` with different labels that can have similarity ``similar``, and few others."""
+    rows = settle(_prefixes(sets, similar), "prefixes")
+    per = rows.groupBy("item", "class", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("item", "class").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    rows = settle(rows.join(per.select("item", "class", F.col("most.label").alias("most")), ["item", "class"]), "met")
+    # Of a pair with two labels, one isn't the most frequent: those that have it never meet one another.
+    few = rows.filter("label <> most").select("item", "class", *(F.col(c).alias(f"{c}_") for c in ("rid", "label", "n", "probe", "at")))
+    share = similar / (1 + similar)
+    # Rows of the first item that both have leave room for all they must share.
+    room = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
+    fits = (F.col("label") != F.col("label_")) & (F.col("probe") != F.col("probe_")) & (room >= F.ceil(share * (F.col("n") + F.col("n_")) - 1e-6))
+    hit = rows.join(few, ["item", "class"]).filter(fits)
+    return hit.select(F.least("rid", "rid_").alias("a"), F.greatest("rid", "rid_").alias("b"), F.least("label", "label_").alias("la"), F.greatest("label", "label_").alias("lb")).distinct()
+
+
+def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """v, label: components of the links of similarity ``similar`` or more within buckets; members without links may be absent.
+
+    ``members`` has bucket, rid and the bucket's size; ``sets`` has rid, items.
+    """
+    trees = settle(_alike(_led(members), sets, similar), "trees")
+    roots = _roots(trees)
+    labelled = members.join(roots, members.rid == roots.v, "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    open_ = labelled.join(mixed.select("bucket"), "bucket").select("rid", "label").distinct()
+    pairs = settle(_candidates(sets.join(open_, "rid"), similar), "pairs")
+    links = _alike(pairs, sets, similar).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = components(links).withColumnsRenamed({"v": "w", "label": "top"})
+    every = roots.unionByName(roots.select(F.col("label").alias("v"), "label")).unionByName(joined.select(F.col("w").alias("v"), F.col("w").alias("label"))).distinct()
+    return every.join(joined, every.label == joined.w, "left").select("v", F.coalesce("top", "label").alias("label"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weight: str = "set") -> DataFrame:
@@ -273,11 +312,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     reps = sketch.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     reps = settle(reps.withColumn("rid", F.monotonically_increasing_id()), "sets")
     band = reps.select("rid", F.explode("bands").alias("bucket"))
-    shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = settle(band.join(shared, "bucket"), "buckets")
     wanted = reps.join(members.select("rid").distinct(), "rid").select("d1", "d2", "rid")
-    items = texts.select("text").mapInArrow(_sets(words, weight), "d1 long, d2 long, items binary, loads binary")
-    items = settle(items.join(wanted, ["d1", "d2"]).dropDuplicates(["rid"]).select("rid", "items", "loads"), "items")
+    items = texts.select("text").mapInArrow(_sets(words, weight), "d1 long, d2 long, items array<long>")
+    items = settle(items.join(wanted, ["d1", "d2"]).dropDuplicates(["rid"]).select("rid", "items"), "items")
     labels = linked(members, items, similar).withColumnRenamed("v", "rid")
     labelled = settle(reps.join(labels, "rid", "left").select("d1", "d2", "least", "n", F.coalesce("label", "rid").alias("label")), "labelled")
     whole = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
