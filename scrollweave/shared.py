@@ -13,17 +13,44 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where the session names none."""
+    """``spark.checkpoint.dir``; a temporary folder only where driver and executors are one process.
+
+    On a cluster that names none there is no folder that all can see, and this
+    is an error.
+    """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="scrollweave-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return f"file://{_own[0]}"
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the JVM ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target, system = _path(spark, path)
+    system.deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder: its plan ends there."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that :func:`written` made and nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        target, system = _path(df.sparkSession, file)
+        system.delete(target.getParent(), True)

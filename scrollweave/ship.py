@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     _sent.add(context.applicationId)
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="scrollweave-ship-")) / "scrollweave_package.zip"
+    folder = tempfile.mkdtemp(prefix="scrollweave-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / "scrollweave_package.zip"
     with zipfile.ZipFile(path, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
