@@ -15,7 +15,8 @@ TIME = "[0-9]{1,2}:[0-9]{2}:[0-9]{2}"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    """Without white space at the ends; a run inside is tried once, from its first character."""
+    return F.regexp_replace(c, f"^[{WS}]++|(?<![{WS}])[{WS}]++\\z", "")
 
 
 def normalize(c: Column) -> Column:
@@ -30,7 +31,9 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """How many words, without making them."""
+    each = F.length(F.regexp_replace(c, f"[{WS}]*+[^{WS}]++[{WS}]*+", "x"))
+    return F.when(c.rlike(f"[^{WS}]"), each).when(c.isNotNull(), F.lit(0))
 
 
 def skip_words(c: Column, n: Column) -> Column:

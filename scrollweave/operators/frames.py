@@ -10,10 +10,18 @@ FORMATS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 MIN_WIDTH, MIN_HEIGHT = 640, 480
 
 
-class FrameError(ValueError):
+class Failure(Exception):
+    """What can go wrong with a recording."""
+
+
+class FrameError(Failure, ValueError):
     """A recording that frames can't be taken from."""
 
 
+class DedupError(Failure):
+    """A text that can't be deduplicated."""
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
@@ -27,12 +35,12 @@ def validate(videos: DataFrame) -> DataFrame:
     say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     present = F.coalesce(F.col("present"), F.lit(True)) if "present" in videos.columns else F.lit(True)
     error = (
-        F.when(~present, say("File not found: ", F.col("path")))
-        .when(~suffix(F.col("path")).isin(*FORMATS), say("Unsupported format: ", suffix(F.col("path"))))
+        F.when(~present, say("Video file not found: ", F.col("path")))
+        .when(~suffix(F.col("path")).isin(*FORMATS), say("Unsupported format: ", F.regexp_extract("path", r"(\.[^./]*)$", 1)))
         .when(F.col("width").isNull() | F.col("fps").isNull(), say("Could not open video: ", F.col("path")))
-        .when((F.col("width") < MIN_WIDTH) | (F.col("height") < MIN_HEIGHT), say("Resolution too low: ", F.col("width").cast("string"), "x", F.col("height").cast("string")))
+        .when((F.col("width") < MIN_WIDTH) | (F.col("height") < MIN_HEIGHT), say("Resolution too low: ", F.col("width").cast("string"), "x", F.col("height").cast("string"), f" (minimum {MIN_WIDTH}x{MIN_HEIGHT})"))
         .when(F.coalesce("frame_count", F.lit(0)) == 0, F.lit("Video has no frames"))
-        .when(F.col("fps") <= 0, F.lit("Invalid frame rate"))
+        .when(F.col("fps") <= 0, F.lit("Could not determine video FPS"))
     )
     return videos.withColumn("error", error)
 
@@ -71,6 +79,19 @@ def single_frame(frames: DataFrame, frame_number: int) -> DataFrame:
     return frames.filter(F.col("frame_number") == frame_number)
 
 
+def scan(frames: DataFrame, videos: DataFrame, target: float | str | None = 2.0, most: int | None = None, similar: float | None = 0.95, vector: str = "vector") -> DataFrame:
+    """The frames (with ``vector``) that are taken of recordings: sampled, unlike the one before, the first ``most``.
+
+    ``target`` may be a text, and None is 2; ``similar`` None keeps frames that
+    look alike. The result is a table to be cached or written where all of it is
+    wanted at once.
+    """
+    taken = sample_frames(frames, videos, 2.0 if target is None else float(target))
+    if similar is not None:
+        taken = taken.join(skip_similar(taken, vector, similar), ["video_id", "frame_number"], "left_semi")
+    return limit_frames(taken, most)
+
+
 def limit_frames(frames: DataFrame, most: int | None) -> DataFrame:
     """The first ``most`` frames of each recording; 0 and None: all."""
     if not most:
@@ -87,12 +108,14 @@ def estimate_frames(videos: DataFrame, rates: tuple[int, ...] = (1, 2, 3, 5)) ->
 
 def histogram_similarity(a: Column, b: Column) -> Column:
     """(r + 1) / 2 with r the correlation of two histograms, 1 without variance; 0 for null or unequal sizes."""
-    n = F.size(a).cast("double")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    ma, mb = total(a) / n, total(b) / n
-    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda x: (x - mb) * (x - mb)))
-    r = F.when(F.sqrt(va * vb) > 0, cov / F.sqrt(va * vb)).otherwise(F.lit(1.0))
+    mean = lambda c: total(c) / F.size(c)
+    # The means are bound before the sums, which would make them again for each element.
+    bound = F.array(F.struct(mean(a).alias("a"), mean(b).alias("b")))
+    pair = lambda m: F.zip_with(a, b, lambda x, y: F.struct((x - m["a"]).alias("x"), (y - m["b"]).alias("y")))
+    zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
+    add = lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"))
+    r = F.transform(F.transform(bound, lambda m: F.aggregate(pair(m), zero, add)), lambda s: F.when(F.sqrt(s["xx"] * s["yy"]) > 0, s["xy"] / F.sqrt(s["xx"] * s["yy"])).otherwise(F.lit(1.0)))[0]
     return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise((r + 1) / 2)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: What may follow a status.
 NEXT = {"pending": {"processing"}, "queued": {"processing"}, "processing": {"complete", "error"}, "error": {"processing"}, "complete": set()}
 
@@ -25,8 +27,26 @@ def move(jobs: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def positions(queue: DataFrame) -> DataFrame:
-    """Add position: 1 for what was added first. One queue is one partition."""
-    return queue.withColumn("position", F.row_number().over(Window.orderBy("added", "item_id")))
+    """Add position: 1 for what was added first.
+
+    The queue is dealt by ranges of (added, item_id), which are written, so that
+    ranks in a range and the sizes of those before it agree; one row for each
+    range meets in one task.
+    """
+    ranged = queue.repartitionByRange(F.col("added"), F.col("item_id")).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "queue")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(sizes.select("_range", before.alias("_first")))  # a row for each partition
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("added", "item_id"))
+    return ranged.withColumn("_nth", nth).join(first, "_range").withColumn("position", (F.col("_first") + F.col("_nth")).cast("long")).drop("_range", "_nth", "_first")
+
+
+def add(queue: DataFrame, items: DataFrame) -> DataFrame:
+    """The queue with ``items`` (item_id, job_id) after all that is in it, in the order of their ids."""
+    last = queue.agg(F.coalesce(F.max("added"), F.lit(0)).alias("_last"))
+    new = items.withColumn("_one", F.lit(1)).join(F.broadcast(last.withColumn("_one", F.lit(1))), "_one")  # one row
+    return queue.unionByName(new.select("item_id", "job_id", (F.col("_last") + 1).alias("added")))
 
 
 def queue_status(queue: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -44,7 +64,8 @@ def results(queue: DataFrame, jobs: DataFrame) -> DataFrame:
     return positions(queue).join(done, "job_id").select("item_id", "position", "filename", "result")
 
 
-def remove(queue: DataFrame, jobs: DataFrame, item_id: str | None = None) -> DataFrame:
-    """The queue without an item (all items for None); items being processed stay."""
-    busy = queue_status(queue, jobs).filter("status = 'processing'").select("item_id")
-    return queue.join(busy, "item_id", "left_semi") if item_id is None else queue.filter(F.col("item_id") != item_id).unionByName(queue.filter(F.col("item_id") == item_id).join(busy, "item_id", "left_semi"))
+def remove(queue: DataFrame, jobs: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The queue without ``items`` (item_id; None: without any); items being processed stay."""
+    busy = queue.join(jobs.filter("status = 'processing'").select("job_id"), "job_id", "left_semi").select("item_id")
+    gone = (queue if items is None else items).select("item_id").join(busy, "item_id", "left_anti")
+    return queue.join(gone, "item_id", "left_anti")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 FRAME = ("video_id", "frame_number")
 #: How far a region may be from its line's first one, and what a merged box must exceed.
 LINE_GAP, PAD, MIN_W, MIN_H = 20, 5, 20, 10
@@ -22,9 +24,20 @@ def geometry(regions: DataFrame) -> DataFrame:
     return regions.withColumns({"center_x": F.col("x") + F.expr("w div 2").cast("int"), "center_y": F.col("y") + F.expr("h div 2").cast("int"), "area": F.col("w") * F.col("h")})
 
 
+def frame_counts(regions: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """video_id, frame_number, n_regions, has_text of all frames: regions of at least ``threshold``, counted as they are read."""
+    counts = regions.groupBy(*FRAME).agg(F.count_if(F.col("confidence") >= threshold).alias("n_regions"))
+    return counts.withColumn("has_text", F.col("n_regions") > 0)
+
+
+def text_frames(frames: DataFrame) -> DataFrame:
+    """video_id, frames_processed, frames_with_text of frames with has_text."""
+    return frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames_processed"), F.count_if("has_text").alias("frames_with_text"))
+
+
 def clean_words(words: DataFrame) -> DataFrame:
     """Word detections with percent confidences: blank texts and negative confidences go, 100 becomes 1."""
-    return words.filter((F.trim("text") != "") & (F.col("confidence") >= 0)).withColumn("confidence", F.col("confidence") / 100.0)
+    return words.filter((T.strip(F.col("text")) != "") & (F.col("confidence") >= 0)).withColumn("confidence", F.col("confidence") / 100.0)
 
 
 def polygon_box(polygon: Column) -> Column:
@@ -35,16 +48,19 @@ def polygon_box(polygon: Column) -> Column:
 
 
 def _lines(boxes: Column, breaks) -> Column:
-    """Boxes in (y, x, idx) order, dealt into lines; ``breaks`` compares a box with its line's first."""
-    start = F.array().cast("array<array<struct<y:int,x:int,idx:int,w:int,h:int,text:string>>>")
+    """Boxes in (y, x, idx) order, dealt into lines; ``breaks`` compares a box with its line's first.
+
+    Only the y of boxes go through the fold, which says where lines begin.
+    """
+    ordered = F.array_sort(boxes)
+    start = F.struct(F.lit(None).cast("int").alias("first"), F.array().cast("array<int>").alias("at"))
 
-    def step(lines: Column, box: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        new = last.isNull() | breaks(box["y"], F.get(last, F.lit(0))["y"])
-        longer = F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.concat(last, F.array(box))))
-        return F.when(new, F.concat(lines, F.array(F.array(box)))).otherwise(longer)
+    def step(state: Column, box: Column) -> Column:
+        new = state["first"].isNull() | breaks(box["y"], state["first"])
+        return F.struct(F.when(new, box["y"]).otherwise(state["first"]).alias("first"), F.when(new, F.concat(state["at"], F.array(box["i"]))).otherwise(state["at"]).alias("at"))
 
-    return F.aggregate(F.array_sort(boxes), start, step)
+    at = F.aggregate(F.transform(ordered, lambda b, i: F.struct(b["y"].alias("y"), i.alias("i"))), start, step)["at"]
+    return F.transform(F.arrays_zip(at.alias("a"), F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(ordered))).alias("b")), lambda line: F.slice(ordered, line["a"] + 1, line["b"] - line["a"]))
 
 
 def _boxes(text: str) -> Column:
@@ -61,15 +77,15 @@ def read_order(regions: DataFrame, threshold: float = 0.5) -> DataFrame:
     by_x = lambda line: F.array_sort(F.transform(line, lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["idx"].alias("idx"), b["text"].alias("text"))))
     boxes = F.filter(_boxes("text_or_null"), lambda b: b["text"].isNotNull())
     kept = kept.withColumn("text_or_null", F.when(F.col("ok"), F.col("text")))
-    out = kept.groupBy(*FRAME).agg(boxes.alias("boxes"), F.count(F.when(F.col("ok"), 1)).alias("n_regions"), F.avg(F.when(F.col("ok"), F.col("confidence"))).alias("mean"))
+    out = kept.groupBy(*FRAME).agg(F.array_sort(boxes).alias("boxes"), F.count(F.when(F.col("ok"), 1)).alias("n_regions"), F.avg(F.when(F.col("ok"), F.col("confidence"))).alias("mean"))
     lines = F.transform(_lines(F.col("boxes"), lambda y, first: F.abs(y - first) > LINE_GAP), lambda line: F.array_join(F.transform(by_x(line), lambda b: b["text"]), " "))
     return out.select(*FRAME, F.array_join(lines, "\n").alias("full_text"), "n_regions", F.coalesce("mean", F.lit(0.0)).alias("average_confidence"))
 
 
 def merge_lines(regions: DataFrame, frame_w: int, frame_h: int) -> DataFrame:
     """video_id, frame_number, line_no, x, y, w, h: boxes of one line (less than LINE_GAP from its first) as one, padded and cut to the frame."""
-    grouped = regions.withColumn("none", F.lit("")).groupBy(*FRAME).agg(_lines(_boxes("none"), lambda y, first: F.abs(y - first) >= LINE_GAP).alias("lines"))
-    line = grouped.select(*FRAME, F.posexplode("lines").alias("line_no", "line"))
+    grouped = regions.withColumn("none", F.lit("")).groupBy(*FRAME).agg(F.array_sort(_boxes("none")).alias("boxes"))
+    line = grouped.select(*FRAME, F.posexplode(_lines(F.col("boxes"), lambda y, first: F.abs(y - first) >= LINE_GAP)).alias("line_no", "line"))
     least = lambda f: F.array_min(F.transform("line", f))
     most = lambda f: F.array_max(F.transform("line", f))
     x, y = F.greatest(F.lit(0), least(lambda b: b["x"]) - PAD), F.greatest(F.lit(0), least(lambda b: b["y"]) - PAD)
