@@ -6,7 +6,6 @@ inputs.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as S
 from .functions import text as T
-from .operators import dedup, formats, frames, jobs, layout, recognize, transcript
+from .operators import dedup, detections, formats, frames, images, jobs, layout, recognize, transcript
 from .plans import pipeline, sql, views
-from .shared import folder
-from .streaming.scroll import scroll_dedup_stream
+from .shared import scratch
+from .sources import sinks
+from .streaming.scroll import frames_as_they_land, scroll_dedup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +100,17 @@ def frame_similarity_mse(spark, d):
     return _next_vectors(spark, d).select("vec_id", F.round(frames.frame_similarity(F.col("a"), F.col("b"), "mse"), 9).alias("similarity"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT label AS video_id, vec_id AS frame_number, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+f AS (
+  SELECT video_id, n, v, frame_number, true AS fresh FROM o WHERE n = 1
+  UNION ALL
+  SELECT video_id, n, CASE WHEN same THEN v ELSE w END, frame_number, NOT same
+  FROM (SELECT o.video_id, o.n, f.v, o.v AS w, o.frame_number, (list_aggregate(list_transform(list_zip(f.v, o.v), lambda x: (x[1] - list_avg(f.v)) * (x[2] - list_avg(o.v))), 'sum')
+      / sqrt(list_aggregate(list_transform(f.v, lambda x: (x - list_avg(f.v)) ** 2), 'sum') * list_aggregate(list_transform(o.v, lambda x: (x - list_avg(o.v)) ** 2), 'sum')) + 1) / 2 > 0.6 AS same
+    FROM f JOIN o ON o.video_id = f.video_id AND o.n = f.n + 1))
+SELECT video_id, frame_number FROM f WHERE fresh"""
+)
 def skip_similar(spark, d):
     e = views.table(spark, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame_number"), F.col("embedding").alias("vector"))
     return frames.skip_similar(e, threshold=0.6)
@@ -111,10 +121,12 @@ def skip_similar(spark, d):
 
 @query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, count(*) FILTER (confidence >= 0.5) AS n_regions, count(*) FILTER (confidence >= 0.5) > 0 AS has_text FROM regions GROUP BY video_id, frame_number")
 def confidence_filter(spark, d):
-    r = views.regions(spark, d)
-    kept = layout.confident(r).groupBy(*layout.FRAME).agg(F.count(F.lit(1)).alias("n_regions"))
-    every = r.select(*layout.FRAME).distinct()
-    return every.join(kept, list(layout.FRAME), "left").select(*layout.FRAME, F.coalesce("n_regions", F.lit(0)).cast("long").alias("n_regions"), (F.coalesce("n_regions", F.lit(0)) > 0).alias("has_text"))
+    return layout.frame_counts(views.regions(spark, d))
+
+
+@query(f"WITH {sql.REGIONS}, c AS (SELECT video_id, frame_number, count(*) FILTER (confidence >= 0.99) > 0 AS has_text FROM regions GROUP BY ALL) SELECT video_id, count(*) AS frames_processed, count(*) FILTER (has_text) AS frames_with_text FROM c GROUP BY video_id")
+def text_frame_count(spark, d):
+    return layout.text_frames(layout.frame_counts(views.regions(spark, d), 0.99))
 
 
 @query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, sum(x + w // 2)::BIGINT AS center_x, sum(y + h // 2)::BIGINT AS center_y, sum(w * h)::BIGINT AS area FROM regions GROUP BY video_id, frame_number")
@@ -183,11 +195,14 @@ def similarity_matrix(spark, d):
     return dedup.similarity_matrix(views.table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("text")))
 
 
-@query(f"SELECT n_nationkey::BIGINT AS id, n_name AS line FROM nation WHERE NOT EXISTS (SELECT 1 FROM nation o WHERE o.n_nationkey < nation.n_nationkey AND o.n_regionkey = nation.n_regionkey AND false) AND NOT EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey = nation.n_regionkey AND {sql.ratio('lower(r.r_name)', 'lower(nation.n_name)')} > 0.5)")
+@query()
 def fuzzy_anti_lines(spark, d):
-    current = views.table(spark, d, "nation").select(F.col("n_regionkey").alias("video_id"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("line"))
-    known = views.table(spark, d, "region").select(F.col("r_regionkey").alias("video_id"), F.col("r_name").alias("line"))
-    return dedup.fuzzy_anti(current, known, 0.5).select("id", "line")
+    f = views.frames_text(spark, d)
+    frame = lambda shift: F.concat_ws(":", F.col("video_id"), F.col("frame_number") + shift)
+    current = f.select(frame(0).alias("video_id"), F.posexplode(F.split("full_text", "\n")).alias("no", "line"))
+    current = current.select("video_id", F.concat_ws(":", "video_id", "no").alias("id"), "line")
+    known = f.select(frame(1).alias("video_id"), F.explode(F.split("full_text", "\n")).alias("line"))
+    return dedup.fuzzy_anti(current, known).select("id", "line")
 
 
 def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -240,19 +255,18 @@ def cross_video_dedup(spark, d):
     return dedup.cross_dedup(texts)
 
 
-@query(f"WITH {sql.LINES} SELECT video_id AS pos, count(*)::BIGINT AS n_lines FROM lines WHERE {sql.strip('line')} <> '' GROUP BY video_id")
+@query(f"WITH {sql.LINES} SELECT video_id AS pos, row_number() OVER (PARTITION BY video_id ORDER BY line_no) - 1 AS line_no, {sql.strip('line')} AS line FROM lines QUALIFY {sql.strip('line')} <> ''")
 def union_lines(spark, d):
     texts = views.raw_texts(spark, d).select(F.col("video_id").alias("pos"), F.col("raw_text").alias("text"))
-    return dedup.union_lines(texts).groupBy("pos").agg(F.count(F.lit(1)).alias("n_lines"))
+    return dedup.union_lines(texts)
 
 
 @query()
 def scroll_dedup_streaming(spark, d):
-    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     frames_ = views.frames_text(spark, d)
     frames_.write.parquet(f"{base}/in")
-    live = spark.readStream.schema(frames_.schema).parquet(f"{base}/in")
-    out = scroll_dedup_stream(live)
+    out = scroll_dedup_stream(frames_as_they_land(spark, f"{base}/in", frames_.schema))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
@@ -287,9 +301,10 @@ def parse_confidence(spark, d):
     return transcript.parse_with_confidence(lines, merge=False).select("video_id", "entry_no", F.round("confidence", 9).alias("confidence"))
 
 
-@query(f"WITH RECURSIVE {sql.STATS} SELECT video_id, speakers, messages, word_count, unique_words, character_count, average_confidence FROM stats")
+@query(f"WITH RECURSIVE {sql.STATS}, c AS (SELECT video_id, avg((line_no % 10) / 10) AS mean FROM lines GROUP BY video_id) SELECT video_id, speakers, messages, word_count, unique_words, character_count, round(mean, 9) AS average_confidence FROM stats JOIN c USING (video_id)")
 def transcript_stats(spark, d):
-    return transcript.statistics(merged(spark, d))
+    lines = views.lines(spark, d).withColumn("confidence", (F.col("line_no") % 10) / 10)
+    return transcript.statistics(transcript.parse_with_confidence(lines)).withColumn("average_confidence", F.round("average_confidence", 9))
 
 
 @query(f"WITH RECURSIVE {sql.STATS} SELECT count(*) FILTER (video_id % 5 <> 0) AS succeeded, count(*) FILTER (video_id % 5 = 0) AS failed FROM meta")
@@ -298,11 +313,11 @@ def batch_summary(spark, d):
     return transcript.batch_summary(transcript.batch_rows(transcript.statistics(merged(spark, d)), jobs_))
 
 
-@query(f"WITH RECURSIVE {sql.STATS} SELECT s.video_id, s.messages, s.word_count, {sql.count_words('raw_text')}::BIGINT AS raw_words, frames_processed, frames_with_text FROM stats s JOIN meta USING (video_id) JOIN raw USING (video_id)")
+@query(f"WITH RECURSIVE {sql.STATS}, {sql.FRAMES_TEXT}, n AS (SELECT video_id, count(*) AS frames_processed, count(*) FILTER ({sql.strip('full_text')} <> '') AS frames_with_text, count(DISTINCT full_text) AS n FROM ft GROUP BY video_id) SELECT raw.video_id, coalesce(speakers, 0) AS total_speakers, coalesce(messages, 0) AS total_messages, CASE WHEN coalesce(word_count, 0) > 0 THEN word_count ELSE {sql.count_words('raw_text')} END::BIGINT AS word_count, {sql.count_words('raw_text')}::BIGINT AS raw_word_count, frames_processed, frames_with_text, n / frames_processed AS deduplication_ratio FROM raw JOIN n USING (video_id) LEFT JOIN stats s USING (video_id)")
 def job_stats(spark, d):
-    stats = transcript.statistics(merged(spark, d))
-    out = stats.join(views.meta(spark, d), "video_id").join(views.raw_texts(spark, d), "video_id")
-    return out.select("video_id", "messages", "word_count", T.word_count(F.col("raw_text")).alias("raw_words"), "frames_processed", "frames_with_text")
+    f = views.frames_text(spark, d).withColumn("has_text", T.strip(F.col("full_text")) != "")
+    blocks = f.groupBy("video_id").agg(F.count_distinct("full_text").alias("n"))
+    return transcript.job_statistics(transcript.statistics(merged(spark, d)), views.raw_texts(spark, d), layout.text_frames(f), blocks)
 
 
 # Formats
@@ -350,11 +365,38 @@ def format_srt(spark, d):
     return formats.subtitles(merged(spark, d))
 
 
-@query()
+_META_JSON = """'{"source_file":' || to_json(source_file) || ',"duration_seconds":' || duration_seconds || ',"frames_processed":' || frames_processed || ',"frames_with_text":' || frames_with_text || ',"extraction_timestamp":' || to_json(extraction_timestamp) || ',"ocr_engine":' || to_json(ocr_engine) || ',"confidence_threshold":' || confidence_threshold || '}'"""
+_LISTED = f"listed AS (SELECT video_id, string_agg({sql.ENTRY_JSON}, ',' ORDER BY entry_no) AS transcript FROM merged GROUP BY video_id)"
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS}, {_LISTED}
+SELECT video_id, '{{"metadata":' || {_META_JSON} || ',"transcript":[' || coalesce(transcript, '') || '],"raw_text":' || to_json(raw_text) || ',"statistics":{{"total_speakers":' || coalesce(speakers, 0) || ',"total_messages":' || coalesce(messages, 0) || ',"word_count":' || coalesce(word_count, {sql.count_words('raw_text')}) || ',"unique_words":' || unique_words || ',"character_count":' || character_count || ',"average_confidence":0.0}}}}' AS content
+FROM meta JOIN raw USING (video_id) LEFT JOIN listed USING (video_id) LEFT JOIN stats USING (video_id)"""
+)
 def format_json(spark, d):
     return formats.json_rows(*_outputs(spark, d))
 
 
+@query(f"WITH RECURSIVE {sql.STATS}, {_LISTED} SELECT video_id, '{{\"transcript\":[' || coalesce(transcript, '') || ']}}' AS content FROM meta LEFT JOIN listed USING (video_id)")
+def format_json_bare(spark, d):
+    return formats.json_rows(*_outputs(spark, d), with_metadata=False, with_statistics=False, with_raw_text=False)
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS},
+b AS (SELECT video_id, string_agg('**' || speaker || '** (' || "timestamp" || ')' || chr(10) || text || chr(10), chr(10) ORDER BY entry_no) AS blocks FROM merged GROUP BY video_id)
+SELECT video_id, array_to_string(['# Meeting Transcript', '', '---', '', '## Transcript' || chr(10) || chr(10) || blocks, '---', '', '{formats.FOOTER}'], chr(10)) AS content FROM meta JOIN b USING (video_id)"""
+)
+def format_markdown_bare(spark, d):
+    return formats.markdown(*_outputs(spark, d), with_metadata=False, with_statistics=False)
+
+
+@query("SELECT conv_id AS video_id, 'meeting-' || conv_id || '.mp4' AS source_file, count(*) * 25.0::DOUBLE AS duration_seconds, count(*) * 2 AS frames_processed, count(*) AS frames_with_text, '2024-01-01T00:00:00Z' AS extraction_timestamp, 'table' AS ocr_engine, 0.5::DOUBLE AS confidence_threshold FROM conversations GROUP BY conv_id")
+def output_metadata(spark, d):
+    return views.meta(spark, d)
+
+
 @query(
     f"""WITH RECURSIVE {sql.STATS},
 b AS (SELECT video_id, string_agg('[' || "timestamp" || '] ' || speaker || ':' || chr(10) || '  ' || text || chr(10), chr(10) ORDER BY entry_no) AS blocks FROM merged GROUP BY video_id)
@@ -363,8 +405,40 @@ SELECT array_to_string([repeat('=', 60), 'COMBINED MEETING TRANSCRIPTS', repeat(
 FROM raw LEFT JOIN b USING (video_id)"""
 )
 def combined_output(spark, d):
-    texts = views.raw_texts(spark, d).withColumn("pos", F.col("video_id"))
-    return formats.combined(texts, merged(spark, d), kind="text")
+    return formats.combined(_positioned(spark, d), merged(spark, d), kind="text")
+
+
+def _positioned(spark: SparkSession, d: str) -> DataFrame:
+    return views.raw_texts(spark, d).withColumn("pos", F.col("video_id"))
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS},
+b AS (SELECT video_id, string_agg('**' || speaker || '** (' || "timestamp" || ')' || chr(10) || text || chr(10), chr(10) ORDER BY entry_no) AS blocks FROM merged GROUP BY video_id),
+n AS (SELECT *, row_number() OVER (ORDER BY video_id) AS no FROM raw LEFT JOIN b USING (video_id))
+SELECT array_to_string(['# Combined Meeting Transcripts', '', '**Videos Combined**: ' || count(*), '**Deduplication**: Disabled', '', '## Source Files', '', string_agg(no || '. ' || video_id, chr(10) ORDER BY no), '', '---', '',
+ string_agg('## ' || video_id || chr(10) || chr(10) || coalesce(blocks, '{formats.RAW_TEXTS_MARKDOWN}' || chr(10) || chr(10) || {sql.strip('raw_text')} || chr(10)) || chr(10) || '---' || chr(10), chr(10) ORDER BY no), '{formats.FOOTER}'], chr(10)) AS content FROM n"""
+)
+def combined_markdown(spark, d):
+    return formats.combined(_positioned(spark, d), merged(spark, d), kind="markdown")
+
+
+@query(
+    f"""WITH RECURSIVE {sql.STATS}, {_LISTED},
+s AS (SELECT video_id, string_agg(to_json(speaker), ',' ORDER BY first) AS speakers FROM (SELECT video_id, speaker, min(entry_no) AS first FROM merged WHERE speaker <> '' GROUP BY ALL) GROUP BY video_id),
+v AS (SELECT video_id, raw_text, '{{"filename":' || to_json(video_id::VARCHAR) || ',"transcript":[' || coalesce(transcript, '') || '],"speakers":[' || coalesce(s.speakers, '') || '],"statistics":{{"total_speakers":' || coalesce(stats.speakers, 0) || ',"total_messages":' || coalesce(messages, 0) || ',"word_count":' || coalesce(word_count, {sql.count_words('raw_text')}) || '}}}}' AS said
+  FROM raw LEFT JOIN listed USING (video_id) LEFT JOIN s USING (video_id) LEFT JOIN stats USING (video_id)),
+a AS (SELECT count(*) AS n, string_agg(to_json(video_id::VARCHAR), ',' ORDER BY video_id) AS names, string_agg(said, ',' ORDER BY video_id) AS videos, string_agg(raw_text, chr(10) || chr(10) ORDER BY video_id) FILTER (raw_text <> '') AS text FROM v)
+SELECT '{{"metadata":{{"combined_from":[' || names || '],"total_videos":' || n || ',"deduplicated":false}},"videos":[' || videos || '],"combined_raw_text":' || to_json(text) || ',"statistics":{{"total_words":' || {sql.count_words('text')} || '}}}}' AS content FROM a"""
+)
+def combined_json(spark, d):
+    return formats.combined(_positioned(spark, d), merged(spark, d), kind="json")
+
+
+@query()
+def combined_deduplicated(spark, d):
+    texts = _positioned(spark, d)
+    return formats.combined(texts, merged(spark, d), dedup.cross_dedup_text(texts.select("pos", F.col("raw_text").alias("text"))), kind="markdown")
 
 
 # Engines and jobs
@@ -377,9 +451,124 @@ def engine_registry(spark, d):
 
 @query(f"WITH {sql.REGIONS} SELECT video_id, frame_number, count(*)::BIGINT AS n FROM regions WHERE confidence >= 0.7 GROUP BY ALL")
 def recognize_table(spark, d):
-    r = views.regions(spark, d).withColumn("timestamp_seconds", F.col("frame_number") * 0.5)
-    shown = r.select("video_id", "frame_number", "timestamp_seconds").distinct()
-    return recognize.recognize_from_table(shown, r, 0.7).groupBy("video_id", "frame_number").agg(F.count(F.lit(1)).alias("n"))
+    found = recognize.recognize_from_table(views.document_frames(spark, d), views.regions(spark, d), 0.7)
+    return found.groupBy("video_id", "frame_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SIDES = "video_id, frame_number, idx"
+
+
+@query(f"WITH {sql.RAW_WORDS} SELECT {_SIDES}, text, (k % 100) / 100 AS confidence, trunc(k % 90 - 3.75)::BIGINT AS x, trunc(k % 40 + 0.5)::BIGINT AS y, trunc(k % 37 + 6.25)::BIGINT AS w, trunc(k % 11 + 1.5)::BIGINT AS h, 4 AS corners, trunc(k % 90 - 3.75)::BIGINT AS first_x FROM raw_words")
+def detect_polygons(spark, d):
+    k = F.col("k")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    left, top, right, bottom = k % 90 - 3.75, k % 40 + 0.5, k % 90 - 3.75 + k % 37 + 6.25, k % 40 + 2.0 + k % 11
+    raw = views.raw_words(spark, d).withColumns({"polygon": F.array(corner(left, top + 1), corner(right, top), corner(right, bottom), corner(left + 1, bottom)), "confidence": (k % 100) / 100})
+    return detections.from_polygons(raw).withColumns({"corners": F.size("polygon"), "first_x": F.col("polygon")[0]["x"]}).drop("polygon")
+
+
+@query(f"WITH {sql.RAW_WORDS} SELECT {_SIDES}, {sql.strip('text')} AS text, (k % 103 - 1) / 100 AS confidence, k % 90 AS x, k % 40 AS y, k % 37 AS w, 12 AS h FROM raw_words WHERE {sql.strip('text')} <> '' AND k % 103 >= 1")
+def detect_words(spark, d):
+    k = F.col("k")
+    raw = views.raw_words(spark, d).withColumns({"left": k % 90, "top": k % 40, "width": k % 37, "height": F.lit(12), "conf": (k % 103 - 1).cast("string")})
+    return detections.from_words(raw)
+
+
+@query(
+    f"""WITH {sql.RAW_WORDS}, c AS (SELECT *, CASE WHEN text = '' AND k % 2 = 0 THEN 'x' || (k % 10) || 'y' ELSE text END AS said FROM raw_words)
+SELECT {_SIDES}, {sql.strip('said')} AS text, CASE WHEN k % 5 = 0 THEN 0.9::DOUBLE ELSE (k % 100) / 100 END AS confidence,
+ CASE WHEN k % 3 < 2 THEN trunc(k % 90 + 0.75)::BIGINT ELSE 0 END AS x, CASE WHEN k % 3 < 2 THEN k % 40 ELSE 0 END AS y, CASE WHEN k % 3 < 2 THEN greatest(1, trunc(k % 37 - 0.5)::BIGINT) ELSE 100 END AS w, CASE WHEN k % 3 < 2 THEN greatest(1, k % 9) ELSE 20 END AS h
+FROM c WHERE {sql.strip('said')} <> ''"""
+)
+def detect_lines(spark, d):
+    k = F.col("k")
+    left, top, right, bottom = k % 90 + 0.75, (k % 40).cast("double"), k % 90 + 0.75 + k % 37 - 0.5, (k % 40 + k % 9).cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    four, three = F.array(corner(left, top), corner(right, top), corner(right, bottom), corner(left, bottom)), F.array(corner(left, top), corner(right, top), corner(right, bottom))
+    chars = F.when(k % 2 == 0, F.array(F.lit("x"), (k % 10).cast("string"), F.lit("y")))
+    raw = views.raw_words(spark, d).withColumns({"chars": chars, "confidence": F.when(k % 5 != 0, (k % 100) / 100), "bbox": F.when(k % 3 == 0, F.array(left, top, right, bottom)), "polygon": F.when(k % 3 == 1, four).when(k % 3 == 2, three)})
+    return detections.from_lines(raw)
+
+
+@query(
+    f"""WITH {sql.RAW_WORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_number ORDER BY k) - 1 AS n FROM raw_words)
+SELECT video_id, frame_number, n AS idx, {sql.strip('text')} AS text, (k % 100) / 100 AS confidence, k % 90 * 10 AS x, k % 40 * 10 AS y, greatest(1, k % 7 * 10) AS w, greatest(1, k % 3 * 10) AS h FROM f WHERE {sql.strip('text')} <> ''"""
+)
+def detect_pages(spark, d):
+    k = F.col("k")
+    corner = lambda x, y: F.struct((x / 128).alias("x"), (y / 64).alias("y"))
+    word = F.struct(F.col("text").alias("value"), ((k % 100) / 100).alias("confidence"), F.array(corner(k % 90, k % 40), corner(k % 90 + k % 7, k % 40 + k % 3)).alias("geometry"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("k", word.alias("word")))), lambda x: x["word"])
+    frames_ = views.raw_words(spark, d).groupBy("video_id", "frame_number").agg(words.alias("all"))
+    # Two pages of two blocks of two lines of words, as far as they go.
+    eighth = F.greatest(F.lit(1), F.ceil(F.size("all") / 8)).cast("int")
+    line = lambda i: F.struct(F.slice("all", eighth * i + 1, eighth).alias("words"))
+    block = lambda i: F.struct(F.array(line(i), line(i + 1)).alias("lines"))
+    page = lambda i: F.struct(F.array(block(i), block(i + 2)).alias("blocks"))
+    return detections.from_pages(frames_.select("video_id", "frame_number", F.array(page(0), page(4)).alias("pages")), 1280, 640)
+
+
+@query(f"WITH {sql.RAW_WORDS} SELECT {_SIDES}, {sql.strip('text')} AS text, round(CASE WHEN k % 4 = 0 THEN 0.85::DOUBLE ELSE 1 / (1 + exp(-((k % 9) - 4.0::DOUBLE))) END, 9) AS confidence, k % 90 AS x, k % 40 AS y, 30::BIGINT AS w, 12::BIGINT AS h FROM raw_words WHERE {sql.strip('text')} <> ''")
+def detect_crops(spark, d):
+    k = F.col("k")
+    raw = views.raw_words(spark, d).withColumns({"score": F.when(k % 4 != 0, (k % 9) - 4.0), "x": k % 90, "y": k % 40, "w": F.lit(30), "h": F.lit(12)})
+    return detections.from_crops(raw).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"WITH RECURSIVE {sql.RAW_WORDS}, regions AS (SELECT video_id, frame_number, k AS idx, k * 7 % 600 AS x, k * 11 % 440 AS y, k % 40 AS w, k % 13 AS h FROM raw_words), {sql.lines_of('w > 10 AND h > 5', '>= 20')}, b AS (SELECT video_id, frame_number, line_no, greatest(0, min(x) - 5) AS x, greatest(0, min(y) - 5) AS y, least(640, max(x + w) + 5) AS r, least(480, max(y + h) + 5) AS s FROM lined GROUP BY ALL) SELECT video_id, frame_number, line_no::BIGINT AS line_no, x::BIGINT AS x, y::BIGINT AS y, (r - x)::BIGINT AS w, (s - y)::BIGINT AS h FROM b WHERE r - x > 20 AND s - y > 10")
+def detect_boxes(spark, d):
+    k = F.col("k")
+    boxes = views.raw_words(spark, d).select("video_id", "frame_number", k.alias("idx"), (k * 7 % 600).alias("x"), (k * 11 % 440).alias("y"), (k % 40).alias("w"), (k % 13).alias("h"))
+    return detections.detected_boxes(boxes, 640, 480)
+
+
+@query(f"WITH {sql.RAW_WORDS} SELECT {_SIDES}, k % 90 AS x FROM raw_words WHERE k % 200 >= 100")
+def detect_contours(spark, d):
+    return detections.from_contours(views.raw_words(spark, d).select("video_id", "frame_number", "idx", (F.col("k") % 90).alias("x"), (F.col("k") % 200).alias("area")))
+
+
+# Pixels
+
+
+@query(f"WITH {sql.IMAGES} SELECT image_id, level, count(*) AS n FROM grey GROUP BY ALL")
+def grey_histogram(spark, d):
+    counts = images.histogram(views.images(spark, d)).select("image_id", F.posexplode("vector").alias("level", "n"))
+    return counts.filter("n > 0")
+
+
+_IMAGE_PAIRS = "JOIN {0} y ON y.image_id = x.image_id + 6"
+
+
+def _image_pairs(spark: SparkSession, d: str, of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    e = of(views.images(spark, d)).select("image_id", F.col(name).alias("a"))
+    return e.join(e.select((F.col("image_id") - 6).alias("image_id"), F.col("a").alias("b")), "image_id")
+
+
+@query(f"WITH {sql.IMAGES}, c AS (SELECT image_id, level, count(*) AS n FROM grey GROUP BY ALL), full_ AS (SELECT image_id, l AS level FROM shapes, (SELECT unnest(range(256)) AS l)), h AS (SELECT f.image_id, f.level, coalesce(n, 0) AS n FROM full_ f LEFT JOIN c ON c.image_id = f.image_id AND c.level = f.level) SELECT x.image_id, round((corr(x.n, y.n) + 1) / 2, 9) AS similarity FROM h x JOIN h y ON y.image_id = x.image_id + 6 AND y.level = x.level GROUP BY x.image_id")
+def image_similarity(spark, d):
+    pairs = _image_pairs(spark, d, images.histogram, "vector")
+    return pairs.select("image_id", F.round(images.similarity(pairs), 9).alias("similarity"))
+
+
+@query(f"WITH {sql.IMAGES} SELECT x.image_id, round(greatest(0.0, 1 - avg((x.level - y.level) ** 2) / (255.0 * 255.0)), 9) AS similarity FROM grey x JOIN grey y ON y.image_id = x.image_id + 6 AND y.p = x.p GROUP BY x.image_id")
+def image_similarity_mse(spark, d):
+    pairs = _image_pairs(spark, d, images.levels, "levels")
+    return pairs.select("image_id", F.round(images.similarity(pairs, "mse"), 9).alias("similarity"))
+
+
+_CUT = "string_agg(printf('%02X', v::INT), '' ORDER BY i)"
+
+
+@query(f"WITH {sql.IMAGES}, c AS (SELECT *, i // 3 % width AS px, i // 3 // width AS py, image_id % 4 AS x, image_id % 2 AS y, image_id % 5 + 1 AS w FROM bytes) SELECT image_id, least(w, greatest(0, width - x)) AS width, height - y AS height, {_CUT} AS pixels FROM c WHERE px >= x AND px < x + w AND py >= y GROUP BY image_id, width, height, x, y, w")
+def image_crop(spark, d):
+    i = F.col("image_id")
+    shaped = views.images(spark, d).withColumns({"x": (i % 4).cast("int"), "y": (i % 2).cast("int"), "w": (i % 5 + 1).cast("int"), "h": F.lit(9)})
+    return images.crop(shaped).select("image_id", "width", "height", F.hex("image").alias("pixels")).filter("pixels <> ''")
+
+
+@query(f"WITH {sql.IMAGES} SELECT image_id, string_agg(printf('%02X%02X%02X', r::INT, g::INT, b::INT), '' ORDER BY p) AS pixels FROM pixels GROUP BY image_id")
+def image_channels(spark, d):
+    return images.reverse_channels(views.images(spark, d)).select("image_id", F.hex("image").alias("pixels"))
 
 
 _JOBS = "j AS (SELECT o_orderkey AS job_id, ['pending', 'processing', 'complete', 'error'][(o_orderkey % 4 + 1)::INT] AS status, 'v' || o_orderkey AS filename, CASE WHEN o_orderkey % 8 = 2 THEN 'done' END AS result FROM orders WHERE o_orderkey % 3 <> 0), q AS (SELECT o_orderkey AS item_id, o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderkey * 7919 % 1000003, o_orderkey) AS position FROM orders)"
@@ -395,12 +584,39 @@ def queue_results(spark, d):
     return jobs.results(*views.jobs(spark, d))
 
 
+@query(f"WITH {_JOBS}, m AS (SELECT max(position) AS n FROM q), l AS (SELECT max(o_orderkey * 7919 % 1000003) AS last FROM orders) SELECT item_id, job_id, position FROM q UNION ALL SELECT n_nationkey + 100000000, n_nationkey, n + row_number() OVER (ORDER BY n_nationkey) FROM nation, m")
+def queue_add(spark, d):
+    new = views.table(spark, d, "nation").select((F.col("n_nationkey") + 100000000).alias("item_id"), F.col("n_nationkey").alias("job_id"))
+    return jobs.positions(jobs.add(views.jobs(spark, d)[0], new)).select("item_id", "job_id", "position")
+
+
+@query(f"WITH {_JOBS} SELECT item_id, q.job_id FROM q LEFT JOIN j ON j.job_id = q.job_id WHERE item_id % 5 <> 0 OR coalesce(status, 'queued') = 'processing'")
+def queue_remove(spark, d):
+    q, j = views.jobs(spark, d)
+    return jobs.remove(q, j, q.filter("item_id % 5 = 0")).select("item_id", "job_id")
+
+
+@query(f"WITH {_JOBS} SELECT item_id, q.job_id FROM q JOIN j ON j.job_id = q.job_id WHERE status = 'processing'")
+def queue_clear(spark, d):
+    return jobs.remove(*views.jobs(spark, d)).select("item_id", "job_id")
+
+
+@query(f"WITH {_JOBS} SELECT item_id, q.job_id, position, 'queued' AS status FROM q LEFT JOIN j ON j.job_id = q.job_id WHERE status IS NULL")
+def queue_ready(spark, d):
+    return jobs.ready(*views.jobs(spark, d))
+
+
 @query(f"WITH {_JOBS} SELECT job_id, CASE WHEN status IN ('pending', 'error') THEN 'processing' ELSE status END AS status FROM j")
 def job_moves(spark, d):
     _, j = views.jobs(spark, d)
     return jobs.move(j, j.select("job_id", F.lit("processing").alias("new_status"))).select("job_id", "status")
 
 
+@query("SELECT n, target FROM (VALUES ('json', '/out/a.json'), ('markdown', '/out/a.md'), ('text', '/out/a.txt'), ('all', '/out/a')) t(n, target)")
+def output_routes(spark, d):
+    return spark.createDataFrame([(kind, sinks.target(None, "/out/a.mp4", kind)) for kind in ("json", "markdown", "text", "all")], "n string, target string")
+
+
 @query()
 def whole_pipeline(spark, d):
     return pipeline.transcripts(views.turn_regions(spark, d))["statistics"]

@@ -14,18 +14,25 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .frames import Failure
+
 REGIONS = "video_id string, frame_number int, timestamp_seconds double, idx int, text string, confidence double, x int, y int, w int, h int"
 
 
-class EngineError(RuntimeError):
+class EngineError(Failure, RuntimeError):
     """An engine that isn't known or can't be used."""
 
 
+Found = list[tuple[str, float, int, int, int, int]]
+
+
 class Recogniser(Protocol):
-    def regions(self, image: bytes) -> list[tuple[str, float, int, int, int, int]]:
+    """Made once in a worker. One that has ``regions_of(images)`` is given several frames at once instead."""
+
+    def regions(self, image: bytes) -> Found:
         """(text, confidence, x, y, w, h) of each region of an image."""
 
 
@@ -84,34 +91,41 @@ def engines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, display_name string, requires_gpu boolean, description string")
 
 
-def _runner(engine: str, options: dict):
+def _runner(engine: str, options: dict, at_once: int):
     made: dict[str, Recogniser] = {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if engine not in made:
                 made[engine] = factory(**options)
-            out = []
-            for r in batch.itertuples():
-                for i, found in enumerate(made[engine].regions(r.image)):
-                    out.append((r.video_id, r.frame_number, r.timestamp_seconds, i, *found))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in REGIONS.split(", ")])
+            one, several = made[engine], getattr(made[engine], "regions_of", None)
+            for lo in range(0, len(batch), at_once):
+                part = batch.iloc[lo : lo + at_once]
+                found = several(list(part.image)) if several else [one.regions(image) for image in part.image]
+                out = [(r.video_id, r.frame_number, r.timestamp_seconds, i, *x) for r, own in zip(part.itertuples(), found, strict=True) for i, x in enumerate(own)]
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in REGIONS.split(", ")])
 
     factory = get(engine).factory
     return run
 
 
-def recognize(frames: DataFrame, engine: str = "easyocr", languages: tuple[str, ...] = ("en",), gpu: bool = True, threshold: float = 0.5) -> DataFrame:
+def recognize(frames: DataFrame, engine: str = "easyocr", languages: tuple[str, ...] = ("en",), gpu: bool = True, threshold: float = 0.5, at_once: int = 20, repeats: str = "error", progress: Observation | None = None) -> DataFrame:
     """REGIONS with at least ``threshold``, of frames (video_id, frame_number, timestamp_seconds, image).
 
-    Frames that repeat a number in a recording are an error: none is dropped.
+    A worker is given ``at_once`` frames at a time, in their order. Frames that
+    repeat a number in a recording are an error, or with ``repeats="last"`` the
+    latest of them counts. ``progress`` gets how many texts were found.
     """
     found = get(engine)
     if found.factory is None:
         raise EngineError(f"{found.display_name} needs the library {found.module} and a registered factory")
-    keyed = frames.groupBy("video_id", "frame_number").agg(F.count(F.lit(1)).alias("_n"), F.first("timestamp_seconds").alias("timestamp_seconds"), F.first("image").alias("image"))
-    once = keyed.withColumn("frame_number", F.when(F.col("_n") == 1, F.col("frame_number")).otherwise(F.raise_error(F.lit("a frame number repeats")).cast("int"))).drop("_n")
-    return once.mapInPandas(_runner(found.name, {"languages": languages, "gpu": gpu}), REGIONS).filter(F.col("confidence") >= threshold)
+    if repeats not in ("error", "last"):
+        raise ValueError(f"repeats: {repeats}")
+    keyed = frames.groupBy("video_id", "frame_number").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("timestamp_seconds", "image")).alias("_x"))
+    number = F.col("frame_number") if repeats == "last" else F.when(F.col("_n") == 1, F.col("frame_number")).otherwise(F.raise_error(F.lit("a frame number repeats")).cast("int"))
+    once = keyed.select("video_id", number.alias("frame_number"), "_x.timestamp_seconds", "_x.image")
+    out = once.mapInPandas(_runner(found.name, {"languages": languages, "gpu": gpu}, at_once), REGIONS).filter(F.col("confidence") >= threshold)
+    return out if progress is None else out.observe(progress, F.count(F.lit(1)).alias("texts_found"))
 
 
 def recognize_from_table(frames: DataFrame, regions: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -118,6 +118,21 @@ def statistics(entries: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     return got.select("video_id", zero("speakers", "long"), zero("messages", "long"), F.size(word).cast("long").alias("word_count"), F.size(F.array_distinct(F.transform(word, F.lower))).cast("long").alias("unique_words"), F.length("all_text").cast("long").alias("character_count"), zero("average_confidence", "double"))
 
 
+def job_statistics(stats: DataFrame, raw: DataFrame, frames: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Statistics of jobs: video_id, total_speakers, total_messages, word_count, raw_word_count, frames_processed, frames_with_text, deduplication_ratio.
+
+    ``stats`` as :func:`statistics` gives them, ``raw`` (video_id, raw_text),
+    ``frames`` (video_id, frames_processed, frames_with_text), ``blocks``
+    (video_id, n): new texts. word_count is that of the raw text where entries
+    have none; the ratio is of new texts to frames, 0 without frames.
+    """
+    out = raw.select("video_id", T.word_count(F.coalesce("raw_text", F.lit(""))).cast("long").alias("raw_word_count"))
+    out = out.join(stats.select("video_id", "speakers", "messages", "word_count"), "video_id", "left").join(frames, "video_id", "left").join(blocks.select("video_id", "n"), "video_id", "left").fillna(0)
+    words = F.when(F.col("word_count") > 0, F.col("word_count")).otherwise(F.col("raw_word_count"))
+    ratio = F.when(F.col("frames_processed") > 0, F.col("n") / F.col("frames_processed")).otherwise(F.lit(0.0))
+    return out.select("video_id", F.col("speakers").alias("total_speakers"), F.col("messages").alias("total_messages"), words.alias("word_count"), "raw_word_count", "frames_processed", "frames_with_text", ratio.alias("deduplication_ratio"))
+
+
 def batch_rows(stats: DataFrame, jobs: DataFrame) -> DataFrame:
     """video_id, status, error, messages, word_count: one row for each job (video_id, error); ``success`` or ``error``."""
     out = jobs.join(stats, "video_id", "left")

@@ -96,8 +96,8 @@ raw AS (SELECT video_id, string_agg(line, chr(10) ORDER BY line_no) AS raw_text
 VIDEOS = f"""videos AS (SELECT o_orderkey AS video_id, '/in/v' || o_orderkey || {listed(ENDS)}[(o_orderkey % 7 + 1)::INT] AS path, o_orderkey % 11 <> 0 AS present,
   640 + (o_orderkey % 5) * 320 - (o_orderkey % 3) * 160 AS width, 480 + (o_orderkey % 4) * 120 - (o_orderkey % 3) * 60 AS height, {listed(RATES)}[(o_orderkey % 6 + 1)::INT] AS fps, (o_orderkey % 13) * 20 AS frame_count FROM orders),
 checked AS (SELECT *, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ending FROM videos),
-validated AS (SELECT *, CASE WHEN NOT present THEN 'File not found: ' || path WHEN ending NOT IN ('.mp4', '.mov', '.avi', '.mkv', '.webm', '.m4v') THEN 'Unsupported format: ' || ending
-  WHEN width < 640 OR height < 480 THEN 'Resolution too low: ' || width || 'x' || height WHEN frame_count = 0 THEN 'Video has no frames' WHEN fps <= 0 THEN 'Invalid frame rate' END AS error FROM checked),
+validated AS (SELECT *, CASE WHEN NOT present THEN 'Video file not found: ' || path WHEN ending NOT IN ('.mp4', '.mov', '.avi', '.mkv', '.webm', '.m4v') THEN 'Unsupported format: ' || regexp_extract(path, '(\\.[^./]*)$', 1)
+  WHEN width < 640 OR height < 480 THEN 'Resolution too low: ' || width || 'x' || height || ' (minimum 640x480)' WHEN frame_count = 0 THEN 'Video has no frames' WHEN fps <= 0 THEN 'Could not determine video FPS' END AS error FROM checked),
 sampled AS (SELECT video_id, unnest(range(0, frame_count, step)) AS frame_number, fps FROM (SELECT *, CASE WHEN 2.0 >= fps THEN 1 ELSE greatest(1, round_even(fps / 2.0, 0)::BIGINT) END AS step FROM validated WHERE error IS NULL)),
 frames AS (SELECT video_id, frame_number, frame_number / fps AS timestamp_seconds FROM sampled)"""
 
@@ -122,3 +122,12 @@ def ratio(a: str, b: str) -> str:
     """Of ASCII texts that aren't empty."""
     lcs = LCS.replace("{a}", a).replace("{b}", b).replace("string_ord", "ascii")
     return f"(2.0::DOUBLE * {lcs} / (length({a}) + length({b})))"
+
+
+#: One entry of a transcript as JSON, and statistics; strings by to_json.
+ENTRY_JSON = """'{"speaker":' || to_json(speaker) || ',"timestamp":' || to_json("timestamp") || ',"timestamp_seconds":' || timestamp_seconds || ',"text":' || to_json(text) || ',"confidence":0.0}'"""
+RAW_WORDS = "raw_words AS (SELECT o_orderkey % 50 AS video_id, o_orderkey % 9 AS frame_number, o_orderkey AS idx, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 7 = 1 THEN ' ' || chr(9) || ' ' WHEN o_orderkey % 7 = 2 THEN ' a b' || o_orderkey || chr(10) ELSE 'w' || o_orderkey END AS text, o_orderkey AS k FROM orders)"
+IMAGES = """shapes AS (SELECT o_orderkey AS image_id, o_orderkey % 3 + 4 AS width, o_orderkey % 2 + 3 AS height FROM orders),
+bytes AS (SELECT image_id, width, height, i, (image_id * 31 + i * i * 17 + i * 7 + image_id % 5 * i) % 256 AS v FROM (SELECT *, unnest(range(width * height * 3)) AS i FROM shapes)),
+pixels AS (SELECT image_id, width, height, i // 3 AS p, max(v) FILTER (i % 3 = 0) AS b, max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 2) AS r FROM bytes GROUP BY ALL),
+grey AS (SELECT *, (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384 AS level FROM pixels)"""

@@ -93,3 +93,24 @@ def jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "complete", "error"))), (k % 4 + 1).cast("int"))
     jobs = o.filter(k % 3 != 0).select(k.alias("job_id"), status.alias("status"), F.concat(F.lit("v"), k.cast("string")).alias("filename"), F.when(k % 8 == 2, F.lit("done")).alias("result"))
     return o.select(k.alias("item_id"), k.alias("job_id"), (k * 7919 % 1000003).alias("added")), jobs
+
+
+def document_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, frame_number, timestamp_seconds of the frames that :func:`regions` has regions of."""
+    n = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), T.word_count(F.col("text")).alias("n")).filter("n > 0")
+    return n.select("video_id", F.explode(F.expr("sequence(0, cast((n - 1) div 60 as int))")).alias("frame_number")).withColumn("timestamp_seconds", F.col("frame_number") * 0.5)
+
+
+def raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, frame_number, idx, text, k: a detection for each order, some of them blank."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 7 == 0, "").when(k % 7 == 1, " \t ").when(k % 7 == 2, F.concat(F.lit(" a b"), k.cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("w"), k.cast("string")))
+    return table(spark, sf_dir, "orders").select((k % 50).alias("video_id"), (k % 9).cast("int").alias("frame_number"), k.alias("idx"), text.alias("text"), k.alias("k"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, width, height, image: a few pixels of each order, three bytes each, by arithmetic."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("image_id"), (k % 3 + 4).cast("int").alias("width"), (k % 2 + 3).cast("int").alias("height"))
+    byte = F.expr("transform(sequence(0, width * height * 3 - 1), i -> lpad(hex((image_id * 31 + i * i * 17 + i * 7 + image_id % 5 * i) % 256), 2, '0'))")
+    return o.withColumn("image", F.unhex(F.array_join(byte, "")))

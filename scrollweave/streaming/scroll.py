@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.dedup import BLOCKS, ScrollState
 
@@ -41,6 +42,11 @@ def _step(threshold: float, min_new: int, window: int, idle_ms: int | None):
     return step
 
 
+def frames_as_they_land(spark: SparkSession, folder: str, schema: StructType, files: int = 20) -> DataFrame:
+    """A stream of the tables of frames below ``folder``; a micro-batch takes ``files`` of them at most."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def scroll_dedup_stream(frames: DataFrame, threshold: float = 0.85, min_new: int = 10, window: int = 3, idle_minutes: int | None = None) -> DataFrame:
     """BLOCKS of a stream of frames, appended as they come."""
     rows = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_number").cast("int").alias("frame_number"), F.col("timestamp_seconds").cast("double").alias("timestamp_seconds"), "full_text", F.col("average_confidence").cast("double").alias("average_confidence"))
