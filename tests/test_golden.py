@@ -1,15 +1,20 @@
 """Values worked out by hand."""
 
+import json
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from scrollweave import log
 from scrollweave.functions import similarity as S
 from scrollweave.functions import text as T
-from scrollweave.operators import dedup, formats, frames, layout, recognize, transcript
+from scrollweave.operators import dedup, detections, formats, frames, images, jobs, layout, recognize, transcript
 from scrollweave.plans import pipeline
-from scrollweave.sources import config, sinks
+from scrollweave.sources import config, sinks, video
 
 SAMPLE = """John Smith
 11:30:00
@@ -182,10 +187,155 @@ def test_formats_and_sinks(spark, tmp_path):
 
 
 def test_settings(tmp_path):
-    s = config.Settings.of({"ocr": {"engine": "doctr"}})
-    assert s.ocr.engine == "doctr" and s.merged({"ocr": {"engine": None, "gpu": False}}).ocr.engine == "doctr"
-    with pytest.raises(TypeError):
-        config.Settings.of({"output": {"formats": []}})
+    s = config.Settings({"ocr": {"engine": "doctr"}})
+    assert s["ocr.engine"] == "doctr" and s["frame_extraction.fps"] == 2.0
+    changed = s.overridden({"ocr": {"engine": None, "gpu": False}, "output": None})
+    assert (changed["ocr.engine"], changed["ocr.gpu"], s["ocr.gpu"]) == ("doctr", False, True)
+    for wrong in ({"output": {"formats": []}}, {"nothing": {}}):
+        with pytest.raises(KeyError):
+            config.Settings(wrong)
+    file = tmp_path / "s.yaml"
+    file.write_text("ocr:\n  languages: [en, de]\ndeduplication:\n")
+    assert config.from_yaml(file)["ocr.languages"] == ("en", "de")
+    assert dict(config.find(None, (tmp_path / "none.yaml", file))) == dict(config.from_yaml(file))
+    assert dict(config.find(tmp_path / "none.yaml")) == dict(config.Settings()) and config.Settings(s.nested())["ocr.engine"] == "doctr"
+
+
+def test_strip_of_a_long_run(spark):
+    text = "a" + " " * 200_000 + "b" + "\u2003\n"
+    began = time.perf_counter()
+    assert value(spark, T.strip(F.lit(text))) == text.strip() and value(spark, T.word_count(F.lit(text))) == 2
+    assert time.perf_counter() - began < 20
+    assert [value(spark, T.strip(F.lit(x))) for x in ("", " ", "\n a \n", "a\n")] == ["", "", "a", "a"]
+
+
+def test_sources(spark, tmp_path):
+    for name in ("a.mp4", "b.MOV", "c.txt"):
+        (tmp_path / name).write_bytes(b"x" * 10)
+    found = video.files(spark, str(tmp_path))
+    assert sorted((r.video_id, r.length) for r in found.collect()) == [("a.mp4", 10), ("b.MOV", 10)]
+    got = {r.video_id: r for r in video.probed(found, lambda path: (640, 480, 25.0, 50) if path.endswith("mp4") else None).collect()}
+    assert got["a.mp4"].fps == 25.0 and got["b.MOV"].width is None
+    live = video.stream(spark, str(tmp_path)).writeStream.format("memory").queryName("landed").trigger(availableNow=True).start()
+    live.awaitTermination()
+    assert {r.video_id for r in spark.table("landed").collect()} >= {"a.mp4", "b.MOV"}
+
+
+def test_scan(spark):
+    v = spark.createDataFrame([("a", "/x/a.mp4", True, 640, 480, 4.0, 12)], "video_id string, path string, present boolean, width int, height int, fps double, frame_count int")
+    rows = [("a", i, [float(x) for x in ((1, 2, 3, 5) if i < 6 else (5, 3, 2, 1))]) for i in range(12)]
+    df = spark.createDataFrame(rows, "video_id string, frame_number int, vector array<double>")
+    numbers = lambda **kw: sorted(r.frame_number for r in frames.scan(df, v, **kw).collect())
+    assert numbers(target="2") == [0, 6] and numbers(target=None, similar=None) == [0, 2, 4, 6, 8, 10] and numbers(similar=None, most=2) == [0, 2]
+    assert issubclass(frames.FrameError, frames.Failure) and issubclass(recognize.EngineError, frames.Failure) and issubclass(frames.DedupError, frames.Failure)
+
+
+def test_repeated_frames_and_batches(spark):
+    class Several:
+        def __init__(self, **_):
+            pass
+
+        def regions_of(self, images):
+            return [[(f"{len(images)}:{x.decode()}", 0.9, 1, 2, 3, 4)] for x in images]
+
+    recognize.register(recognize.Engine("several", "Several", False, "", None, Several))
+    df = spark.createDataFrame([("v", i % 5, float(i), str(i).encode()) for i in range(7)], "video_id string, frame_number int, timestamp_seconds double, image binary")
+    seen = Observation()
+    got = recognize.recognize(df.coalesce(1), "several", at_once=2, repeats="last", progress=seen).collect()
+    assert sorted((r.frame_number, r.text.split(":")[1]) for r in got) == [(0, "5"), (1, "6"), (2, "2"), (3, "3"), (4, "4")]
+    assert seen.get["texts_found"] == 5 and {r.text.split(":")[0] for r in got} <= {"1", "2"}
+    with pytest.raises(Exception, match="repeats"):
+        recognize.recognize(df, "several").collect()
+
+
+def test_pixels(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    pictures = [rng.integers(0, 256, (h, w, 3), np.uint8) for h, w in ((4, 5), (1, 1), (3, 7))]
+    rows = [("v", i, p.shape[1], p.shape[0], bytearray(p.tobytes()), 1, 1, 3, 9) for i, p in enumerate(pictures)] + [("v", 3, 2, 2, bytearray(b"short"), 0, 0, 1, 1), ("v", 4, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "video_id string, frame_number int, width int, height int, image binary, x int, y int, w int, h int")
+    grey = [np.floor(p[..., 0] * 1868 / 16384 + p[..., 1] * 9617 / 16384 + p[..., 2] * 4899 / 16384 + 0.5).astype(int) for p in (x.astype(float) for x in pictures)]
+    got = {r.frame_number: r for r in images.histogram(images.levels(df)).collect()}
+    for i, g in enumerate(grey):
+        assert got[i].levels == g.reshape(-1).tolist() and got[i].vector == np.bincount(g.reshape(-1), minlength=256).tolist()
+    assert got[3].vector is None and got[4].levels is None
+    cut = {r.frame_number: r for r in images.crop(df).collect()}
+    for i, p in enumerate(pictures):
+        want = p[1:10, 1:4]
+        assert bytes(cut[i].image) == want.tobytes() and (cut[i].height, cut[i].width) == want.shape[:2]
+    assert images.crop(df, None) is df
+    flipped = {r.frame_number: r for r in images.reverse_channels(df).collect()}
+    assert bytes(flipped[0].image) == pictures[0][..., ::-1].tobytes()
+    saved = {r.frame_number: r.saved for r in images.save(df, f"{tmp_path}/frames").collect()}
+    assert saved == {0: True, 1: True, 2: True, 3: True, 4: False} and spark.read.parquet(f"{tmp_path}/frames").count() == 5
+
+
+def test_detections_on_odd_rows(spark):
+    form = "video_id int, frame_number int, idx int, text string, chars array<string>, confidence double, bbox array<double>, polygon array<struct<x:double,y:double>>"
+    rows = [(1, 0, 0, None, ["a", "b"], None, None, None), (1, 0, 1, "", None, 0.5, [1.9, 2.0, 1.95, 9.5], None), (1, 0, 2, " x ", None, 0.5, [1.0], None), (1, 0, 3, "  ", ["q"], 0.5, None, None)]
+    got = [tuple(r)[2:] for r in detections.from_lines(spark.createDataFrame(rows, form)).collect()]
+    assert got == [(0, "ab", 0.9, 0, 0, 100, 20), (2, "x", 0.5, 0, 0, 100, 20)]
+    words = spark.createDataFrame([(1, 0, 0, "a", "95", 1, 2, 3, 4), (1, 0, 1, "b", "-1", 1, 2, 3, 4), (1, 0, 2, " \n", "95", 1, 2, 3, 4)], "video_id int, frame_number int, idx int, text string, conf string, left int, top int, width int, height int")
+    assert [tuple(r)[2:] for r in detections.from_words(words).collect()] == [(0, "a", 0.95, 1, 2, 3, 4)]
+    assert set(detections.FORMS) == set(recognize.ENGINES) - {"fixed", "several"} and detections.languages_option(("en", "de")) == "en+de"
+
+
+def test_queue(spark):
+    q = spark.createDataFrame([(i, i, (i * 7919) % 101 // 3) for i in range(300)], "item_id long, job_id long, added long")
+    j = spark.createDataFrame([(i, ["processing", "complete"][i % 2]) for i in range(0, 300, 3)], "job_id long, status string")
+    want = {k: n for n, (_, k) in enumerate(sorted(((i * 7919) % 101 // 3, i) for i in range(300)), 1)}
+    assert {r.item_id: r.position for r in jobs.positions(q).collect()} == want
+    more = jobs.positions(jobs.add(q, spark.createDataFrame([(1001, 1), (1000, 2)], "item_id long, job_id long")))
+    assert {r.item_id: r.position for r in more.collect()} == want | {1000: 301, 1001: 302}
+    busy = {i for i in range(0, 300, 6)}
+    assert {r.item_id for r in jobs.remove(q, j).collect()} == busy
+    assert {r.item_id for r in jobs.remove(q, j, q.filter("item_id in (0, 1, 3)")).collect()} == set(range(300)) - {1, 3}
+    assert jobs.positions(q.limit(0)).collect() == []
+
+
+def test_job_statistics(spark):
+    stats = spark.createDataFrame([("a", 2, 3, 0), ("b", 1, 1, 5)], "video_id string, speakers long, messages long, word_count long")
+    raw = spark.createDataFrame([("a", "x y z"), ("b", "p"), ("c", None)], "video_id string, raw_text string")
+    shown = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "video_id string, has_text boolean")
+    blocks = spark.createDataFrame([("a", 1)], "video_id string, n long")
+    got = {r.video_id: tuple(r)[1:] for r in transcript.job_statistics(stats, raw, layout.text_frames(shown), blocks).collect()}
+    assert got == {"a": (2, 3, 3, 3, 2, 1, 0.5), "b": (1, 1, 5, 1, 1, 1, 0.0), "c": (0, 0, 0, 0, 0, 0, 0.0)}
+
+
+def test_combined(spark):
+    got, texts = parse(spark, SAMPLE), spark.createDataFrame([("v", SAMPLE, 0), ("w", "only  words\n", 1), ("x", "", 2)], "video_id string, raw_text string, pos int")
+    joined = spark.createDataFrame([(" all of it \n",)], "content string")
+    text = lambda **kw: formats.combined(texts, got, **kw).first().content
+    said = text(kind="text")
+    assert "Videos: 3\nDeduplication: Disabled\n" in said and f"FILE: w\n{'-' * 60}\n\n{formats.RAW_TEXTS}\n\nonly  words\n" in said and said.endswith(f"FILE: x\n{'-' * 60}\n\n{formats.NONE_TEXTS}\n")
+    assert "1. v\n2. w\n3. x\n\n---\n" in text(kind="markdown") and text(kind="markdown").endswith(f"\n---\n\n{formats.FOOTER}")
+    only = text(kind="markdown", joined=joined)
+    assert "## Combined Transcript (Deduplicated)\n\nall of it\n\n" in only and "**John Smith**" not in only
+    whole = json.loads(text(kind="json"))
+    assert whole["metadata"] == {"combined_from": ["v", "w", "x"], "total_videos": 3, "deduplicated": False}
+    assert whole["videos"][0]["speakers"] == ["John Smith", "Jane Doe"] and whole["videos"][1]["transcript"] == [] and len(whole["videos"][0]["transcript"]) == 4
+    assert whole["combined_raw_text"] == f"{SAMPLE}\n\nonly  words\n" and whole["statistics"]["total_words"] == len(whole["combined_raw_text"].split())
+    assert json.loads(text(kind="json", joined=joined))["combined_raw_text"] == " all of it \n"
+
+
+def test_saving_and_logging(spark, tmp_path):
+    got = parse(spark, SAMPLE)
+    meta = spark.createDataFrame([("v", "m.mp4", 120.5, 10, 5, "2024-01-01T00:00:00Z", "table", 0.5)], "video_id string, source_file string, duration_seconds double, frames_processed int, frames_with_text int, extraction_timestamp string, ocr_engine string, confidence_threshold double")
+    raw = spark.createDataFrame([("v", SAMPLE)], "video_id string, raw_text string")
+    out = sinks.save_all(got, meta, raw, f"{tmp_path}/all")
+    assert set(out) == {"json", "markdown", "text", "srt"} and spark.read.option("lineSep", "\0").text(out["text"]).first().value.startswith("Source: m.mp4")
+    assert sinks.auto_save(got, meta, raw, f"{tmp_path}/auto") == {"json": 1, "markdown": 1, "text": 1}
+    assert (tmp_path / "auto/v_transcript.md").read_text().startswith("# Meeting Transcript")
+    (tmp_path / "file").write_text("")
+    assert sinks.auto_save(got, meta, raw, f"{tmp_path}/file") == {}
+    made = sinks.contents(got, meta, raw)
+    assert sinks.download(made, "json", "v").first().name == "v_transcript.json" and sinks.download(made, "text", "w").collect() == []
+    with pytest.raises(ValueError):
+        sinks.download(made, "pdf")
+    log.set_up("nonsense", tmp_path / "logs/x.log").info("said")
+    assert "said" in (tmp_path / "logs/x.log").read_text()
+    log.set_up()
 
 
 def test_pipeline(spark):
