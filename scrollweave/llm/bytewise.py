@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 2 << 20
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,19 +32,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE = mix(np.arange(1, 257, dtype=U) * BASE)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1024)
-        ups = [np.full(size, b, U) for b in (BASE, INVERSE)]
-        for up in ups:
-            up[0] = 1
-        _powers[:] = [np.multiply.accumulate(up) for up in ups]
-    return _powers[0], _powers[1]
+#: Masks that keep the first k bytes of a little-endian word; ranges up to SHORT bytes are hashed in numpy.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+SHORT = 64
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as one number (beyond the end: 0): a view, eight numbers share each byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def same_ranges(at: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``size`` bytes from each a and from each b (in ``other``, if given) are the same."""
+    same, live, k = np.ones(len(a), bool), np.arange(len(a)), 0
+    other = at if other is None else other
+    while len(live := live[size[live] > k]):
+        if k < SHORT:
+            differs = ((at[a[live] + k] ^ other[b[live] + k]) & FIRST[np.minimum(size[live] - k, 8)]) != 0
+            same[live[differs]] = False
+            live, k = live[~differs], k + 8
+        else:
+            left, right = memoryview(at.base), memoryview(other.base)
+            for i, x, y, n in zip(live.tolist(), a[live].tolist(), b[live].tolist(), size[live].tolist(), strict=True):
+                same[i] = left[x + k : x + n] == right[y + k : y + n]
+            break
+    return same
+
+
+def distinct(hashes: np.ndarray, same) -> tuple[np.ndarray, np.ndarray, int]:
+    """(code, first, n): equal codes for equal things, by their hashes and, where these are equal, ``same(a, b)`` of their numbers; the first thing of each code; codes from n on have a hash that another has."""
+    codes, unique = pd.factorize(hashes)
+    first, n = np.zeros(len(unique), np.int64), len(unique)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    codes = codes.astype(np.int64)
+    rest = np.flatnonzero(first[codes] != np.arange(len(codes)))
+    wrong = rest[~same(rest, first[codes[rest]])] if len(rest) else rest
+    # Things that only share a hash: compared with one another, again by pairs with the first.
+    while len(wrong):
+        lead, codes[wrong[0]] = wrong[0], len(first)
+        first = np.append(first, lead)
+        equal = same(wrong[1:], np.full(len(wrong) - 1, lead)) & (hashes[wrong[1:]] == hashes[lead])
+        codes[wrong[1:][equal]] = codes[lead]
+        wrong = wrong[1:][~equal]
+    return codes, first, n
 
 
 class Text:
@@ -51,18 +84,20 @@ class Text:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self._sums: np.ndarray | None = None
+        self._at: np.ndarray | None = None
 
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
         """Number of set bytes of ``mask`` in each document."""
-        total = np.zeros(len(mask) + 1, np.int64)
-        np.cumsum(mask, out=total[1:])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return np.diff(np.searchsorted(np.flatnonzero(mask), self.offsets))
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         """The document that holds each byte position."""
         return np.searchsorted(self.offsets, at, "right") - 1
 
+    def docs_of(self, at: np.ndarray) -> np.ndarray:
+        """As :meth:`doc_of`, of positions in ascending order."""
+        return np.repeat(np.arange(self.n), np.diff(np.searchsorted(at, self.offsets)))
+
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs of set bytes, cut at the edges of documents."""
         n = len(self.data)
@@ -77,15 +112,31 @@ class Text:
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         return self.runs(~SPACE[self.data])
 
+    @property
+    def at(self) -> np.ndarray:
+        if self._at is None:
+            self._at = words_at(self.data)
+        return self._at
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each byte range: by its bytes and length, not its place."""
-        if self._sums is None:
-            up, _ = powers(len(self.data) + 1)
-            self._sums = np.zeros(len(self.data) + 1, U)
-            np.cumsum(BYTE[self.data] * up[: len(self.data)], out=self._sums[1:])
-        _, down = powers(len(self.data) + 1)
-        h = (self._sums[ends] - self._sums[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(U) * BASE)
+        size = ends - starts
+        h, k = mix((size.astype(U) + U(1)) * BASE), 0
+        live = np.flatnonzero((size > 0) & (size <= SHORT))
+        while len(live := live[size[live] > k]):
+            word = self.at[starts[live] + k] & FIRST[np.minimum(size[live] - k, 8)]
+            h[live] = mix((h[live] ^ word) * BASE + U(k))
+            k += 8
+        if len(long := np.flatnonzero(size > SHORT)):
+            raw = memoryview(self.data)
+            h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return h
+
+    def codes(self, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(code, first, n) of byte ranges, as :func:`distinct`: bytes decide."""
+        size = ends - starts
+        same = lambda a, b: (size[a] == size[b]) & same_ranges(self.at, starts[a], starts[b], np.where(size[a] == size[b], size[a], 0))
+        return distinct(self.hashes(starts, ends) if hashes is None else hashes, same)
 
 
 def windows(values: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -52,7 +52,7 @@ DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
 def shingles(text: Text, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each run of ``words`` words; a text with fewer words, but some, has one of all its words."""
     starts, ends = text.words()
-    docs, word = text.doc_of(starts), text.hashes(starts, ends)
+    docs, word = text.docs_of(starts), text.hashes(starts, ends)
     keys, at = windows(word, docs, words)
     found = [(keys, docs[at])]
     have = np.bincount(docs, minlength=text.n)

@@ -21,7 +21,6 @@ reaches the driver. First ids of parts are sums over one row per part.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import scratch
 from .bytewise import chunks
-from .common import settle, shared_dir
+from .common import settle
 from .tokens import default_path, encoder
 
 MAX_BITS, STEP, BLOCK_IDS = 20, 128, 1 << 17
@@ -245,10 +245,8 @@ def round_trip(docs: DataFrame, path: str | None = None, folder: str | None = No
     columns are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/huffman-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "huffman")
     write(docs, folder, path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return read(spark, folder)
 
 

@@ -1,15 +1,17 @@
 """Quality rules (2): weak supervision.
 
 Each rule looks at one property of a text and votes that it is good, that it is
-bad, or abstains. Expectation-maximisation over all documents' votes estimates,
+bad, or abstains. A property has several rules, so that a bad text mostly draws
+several bad votes. Expectation-maximisation over all documents' votes estimates,
 without labels, how often each rule votes so for good and for bad texts; the
 posterior probability that a text is good then decides, so that no rule is a
 veto and rules that often err weigh little. Only the base rules of the contract
 (too few words, too many repeated words) reject alone.
 
 Scale: properties come from one scan, in numpy, without a shuffle. EM needs
-only how many documents have each pattern of votes, at most 3 ** rules rows
-whatever the input, and its result is a sum of weights per rule, an expression.
+only how many documents have each pattern of votes: at most 3 ** rules pairs of
+numbers (77 MB), on real texts some hundred; its result is a sum of weights per
+rule, an expression.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -25,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewise import SPACE, Text, chunks, doc_key, windows
+from .bytewise import SPACE, Text, U, chunks, distinct, doc_key, windows
 from .common import settle
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twice", "n_upper", "n_letters", "n_shouts", "n_ends")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twice", "n_upper", "n_letters", "n_shouts", "n_ends", "n_symbol_words", "n_letter_words", "n_capital_words", "n_distinct", "n_function_words", "n_letter_chars")
 MIN_WORDS, MAX_REPEAT = 20, 30
 KEEP = 0.5
-#: The share of good texts that a rule is believed to call bad before votes are seen, and the most that it can be found to.
-MISFIRE, MOST = 0.001, 0.5
-#: Beliefs weigh as much as this times the documents (for a rule: those that it votes on).
-FIRM = 10.0
+#: Before votes are seen: the share of good texts, and of good and of bad texts that a rule calls bad. It weighs as much as so many texts.
+GOOD, MISFIRE, HIT, STRENGTH = 0.8, 0.05, 0.4, 20.0
+#: Frequent function words of English, German, French and Spanish.
+FUNCTION_WORDS = "the of and to in that is with for be der die und das ist zu den mit nicht von le la les et de des est que pour dans el los las y en es por con una un".split()
 
 
 @dataclass(frozen=True)
@@ -49,15 +51,22 @@ class Rule:
     least: int = 1
 
 
+#: Thresholds of a bad vote follow rules in common use (a tenth of symbols, four fifths of words with a letter, three tenths of repeated lines); those of a good vote stand well apart.
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 0.02, 0.08),
-    Rule("repeats", "n_repeat_words", "n_words", 0.25, 0.29),
-    Rule("twice", "n_twice", "n_words", 0.03, 0.08),
-    Rule("capitals", "n_upper", "n_letters", 0.12, 0.2),
-    Rule("shouts", "n_shouts", "n_words", 0.02, 0.08),
-    Rule("lines", "n_dup_lines", "n_lines", 0.25, 0.4, 4),
-    Rule("sentences", "n_ends", "n_words", 0.03, 0.01, 40),
-    Rule("long_words", "word_chars", "n_words", 9.0, 14.0),
+    Rule("symbols", "n_symbols", "n_words", 0.05, 0.1),
+    Rule("symbol_words", "n_symbol_words", "n_words", 0.05, 0.1),
+    Rule("letter_words", "n_letter_words", "n_words", 0.9, 0.8),
+    Rule("letters", "n_letter_chars", "word_chars", 0.9, 0.8),
+    Rule("capitals", "n_upper", "n_letters", 0.1, 0.3),
+    Rule("capital_words", "n_capital_words", "n_words", 0.05, 0.2),
+    Rule("shouts", "n_shouts", "n_words", 0.02, 0.1),
+    Rule("repeats", "n_repeat_words", "n_words", 0.1, 0.2),
+    Rule("twice", "n_twice", "n_words", 0.05, 0.2),
+    Rule("distinct", "n_distinct", "n_words", 0.4, 0.3),
+    Rule("lines", "n_dup_lines", "n_lines", 0.15, 0.3, 4),
+    Rule("sentences", "n_ends", "n_words", 0.02, 0.005, 40),
+    Rule("long_words", "word_chars", "n_words", 8.0, 10.0),
+    Rule("function_words", "n_function_words", "n_words", 0.05, 0.02, 20),
 )
 
 
@@ -65,7 +74,7 @@ def measure(text: Text) -> dict[str, np.ndarray]:
     """The features of each document."""
     data, n = text.data, text.n
     starts, ends = text.words()
-    docs = text.doc_of(starts)
+    docs = text.docs_of(starts)
     per_doc = partial(np.bincount, minlength=n)
     out = {"n_words": per_doc(docs)}
     out["word_chars"] = text.per_doc(~SPACE[data] & ((data & 0xC0) != 0x80))
@@ -73,20 +82,26 @@ def measure(text: Text) -> dict[str, np.ndarray]:
     out["n_shouts"] = text.per_doc(data == ord("!"))
     # Lines; one that starts at the end of its document is empty and has no word.
     breaks = np.flatnonzero(data == 10)
-    begin = np.union1d(text.offsets[:-1], breaks + 1)
-    begin = begin[begin < len(data)]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[text.offsets], edge[breaks + 1] = True, True
+    begin = np.flatnonzero(edge[:-1])
     stop = np.append(begin[1:], len(data))
     stop = stop - ((data[stop - 1] == 10) & (stop > begin))
     holds = np.searchsorted(starts, begin, "left") < np.searchsorted(starts, np.maximum(stop, begin), "left")
     begin, stop = begin[holds], stop[holds]
-    of = text.doc_of(begin)
+    of = text.docs_of(begin)
     out["n_lines"] = per_doc(of)
-    again = pd.Series(text.hashes(begin, stop) + doc_key(of)).duplicated(keep="first").to_numpy()
+    line = text.codes(begin, stop)[0]
+    again = pd.MultiIndex.from_arrays([of, line]).duplicated(keep="first")
     out["n_dup_lines"] = per_doc(of[again])
     # Words in windows of eight that the text has twice.
-    words = text.hashes(starts, ends)
+    hashes = text.hashes(starts, ends)
+    codes, first, _ = text.codes(starts, ends, hashes)
+    words = codes.astype(U)
     keys, at = windows(words, docs, 8)
-    twice = at[pd.Series(keys + doc_key(docs[at])).duplicated(keep=False).to_numpy()]
+    equal = lambda a, b: (docs[at[a]] == docs[at[b]]) & np.logical_and.reduce([words[at[a] + k] == words[at[b] + k] for k in range(8)])
+    window, *_ = distinct(keys + doc_key(docs[at]), equal)
+    twice = at[np.bincount(window)[window] > 1] if len(at) else at
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + 8, -1)
@@ -101,9 +116,29 @@ def measure(text: Text) -> dict[str, np.ndarray]:
     out["n_upper"], out["n_letters"] = text.per_doc(upper), text.per_doc(upper | lower)
     last = data[ends - 1]
     out["n_ends"] = per_doc(docs[(last == ord(".")) | (last == ord("?")) | (last == ord("!"))])
+    # Words by what they hold; a letter is one of ASCII, or any character beyond it.
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0xC0)
+    held = lambda mask: np.bincount(np.searchsorted(starts, np.flatnonzero(mask), "right") - 1, minlength=len(starts))
+    letters = np.add.reduceat(letter, starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32)
+    big = held((data >= 65) & (data <= 90))
+    out["n_symbol_words"], out["n_letter_words"] = per_doc(docs[held(SYMBOL[data]) > 0]), per_doc(docs[letters > 0])
+    out["n_capital_words"] = per_doc(docs[(big >= 2) & (big == letters)])
+    out["n_distinct"] = per_doc(pd.unique(docs * len(words) + codes) // max(1, len(words)))
+    known = _function_hashes()
+    function = known[np.minimum(np.searchsorted(known, hashes[first]), len(known) - 1)] == hashes[first]
+    out["n_function_words"] = per_doc(docs[function[codes]])
+    out["n_letter_chars"] = per_doc(docs, letters).astype(np.int64)
     return out
 
 
+@cache
+def _function_hashes() -> np.ndarray:
+    """Of FUNCTION_WORDS, as they are and capitalised, in ascending order."""
+    raw = [w.encode() for x in FUNCTION_WORDS for w in (x, x.capitalize())]
+    end = np.cumsum([len(w) for w in raw])
+    return np.sort(Text(np.frombuffer(b"".join(raw), np.uint8), np.array([0, end[-1]])).hashes(np.concatenate([[0], end[:-1]]), end))
+
+
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -140,49 +175,50 @@ class Model:
         return math.log(self.prior / (1 - self.prior)), [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in self.told]
 
 
-def learn(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 500, misfire: float = MISFIRE) -> Model:
-    """EM over (votes, documents) from the belief that rules are mostly right.
+def learn(votes: np.ndarray, count: np.ndarray, strength: float = STRENGTH, rounds: int = 1000) -> Model:
+    """EM over patterns of votes (1, 0, NaN: abstains) and how many documents have each.
 
-    Two classes that explain the votes could be any; what makes one of them
-    "good" is the belief that four in five texts are good, that rules call
-    ``misfire`` of them bad, and three in ten of the others. It weighs as
-    ``FIRM`` times the documents, the same at all scales: bad votes that other
-    rules don't share reject where they are few, and are found to be the rule's
-    own error, up to ``MOST`` of good texts, and outvoted where they are many
-    (about a ninth of the documents if all rules vote, a sixth if one
-    abstains). Estimates are drawn towards the belief. Without documents the
-    beliefs stay.
+    Beliefs (GOOD, MISFIRE, HIT) that weigh as much as ``strength`` documents,
+    however many there are, say which of the two classes is the good one and
+    keep estimates off 0 and 1. Of several starts (texts with less than one,
+    two and three bad votes are good) the likeliest answer counts. Without
+    documents the beliefs stay.
     """
-    rules = len(patterns[0][0]) if patterns else len(RULES)
-    believed, strength, believe = np.array([1 - misfire, 0.7]), 10.0, 0.8
-    prior = believe
-    told = np.tile(believed, (rules, 1))
-    if not patterns:
+    believed = np.array([1 - MISFIRE, 1 - HIT])
+    best, told, prior = -np.inf, np.tile(believed, (votes.shape[1], 1)), GOOD
+    if not count.sum():
         return Model(prior, tuple(map(tuple, told.tolist())))
-    votes = np.array([[np.nan if v is None else v for v in p] for p, _ in patterns], float)
-    count = np.array([c for _, c in patterns], float)
     cast, good = ~np.isnan(votes), np.nan_to_num(votes)
-    share, strength = strength + FIRM * count.sum(), strength + FIRM * (cast * count[:, None]).sum(0)
-    for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + (cast * (good * np.log(told[:, 0] / told[:, 1]) + (1 - good) * np.log((1 - told[:, 0]) / (1 - told[:, 1])))).sum(1)
-        post = 1 / (1 + np.exp(-odds))
-        prior = float((post @ count + share * believe) / (count.sum() + share))
-        new = np.empty_like(told)
-        for k, p in enumerate((post, 1 - post)):
-            weight = (p * count)[:, None] * cast
-            new[:, k] = ((weight * good).sum(0) + strength * believed[k]) / (weight.sum(0) + strength)
-        new[:, 0] = np.maximum(new[:, 0], 1 - MOST)
-        moved, told = np.abs(new - told).max(), new
-        if moved < 1e-9:
-            break
+    bad = (cast & (votes == 0)).sum(1)
+    for start in (1, 2, 3):
+        post, before = np.where(bad < start, 0.99, 0.01), -np.inf
+        for _ in range(rounds):
+            share = float((post @ count + strength * GOOD) / (count.sum() + strength))
+            rate = np.empty_like(told)
+            for k, p in enumerate((post, 1 - post)):
+                weight = (p * count)[:, None] * cast
+                rate[:, k] = ((weight * good).sum(0) + strength * believed[k]) / (weight.sum(0) + strength)
+            said = good @ np.log(rate) + (cast * (1 - good)) @ np.log(1 - rate) + np.log([share, 1 - share])
+            post = 1 / (1 + np.exp(np.clip(said[:, 1] - said[:, 0], -700, 700)))
+            beliefs = GOOD * np.log(share) + (1 - GOOD) * np.log(1 - share) + (believed * np.log(rate) + (1 - believed) * np.log(1 - rate)).sum()
+            likely = float(np.logaddexp(said[:, 0], said[:, 1]) @ count + strength * beliefs)
+            if likely - before < 1e-9 * abs(likely):
+                break
+            before = likely
+        if likely > best + 1e-6 * abs(likely):
+            best, told, prior = likely, rate, share
     return Model(prior, tuple(map(tuple, told.tolist())))
 
 
-def fit(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> Model:
-    """Learn from the votes on all rows; at most 3 ** len(rules) counts reach the driver."""
-    names = [r.name for r in rules]
-    counts = measured.select(*(vote(r).alias(r.name) for r in rules)).groupBy(*names).count().collect()
-    return learn(sorted(((tuple(row[n] for n in names), row["count"]) for row in counts), key=str))
+def fit(measured: DataFrame, rules: tuple[Rule, ...] = RULES, strength: float = STRENGTH) -> Model:
+    """Learn from the votes on all rows; a number and a count for each pattern of votes reach the driver."""
+    code = F.lit(0)
+    for k, rule in enumerate(rules):
+        code = code + F.coalesce(vote(rule), F.lit(2)) * 3**k
+    counts = measured.select(code.cast("long").alias("code")).groupBy("code").count().toArrow()
+    order = np.argsort(codes := counts["code"].to_numpy())
+    digits = codes[order][:, None] // 3 ** np.arange(len(rules)) % 3
+    return learn(np.where(digits == 2, np.nan, digits.astype(float)), counts["count"].to_numpy()[order].astype(float), strength)
 
 
 def posterior(model: Model, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -4,7 +4,8 @@ A byte-level BPE of this kind never merges across a space that a character
 other than white space follows: its pattern starts a new word there, but not
 before an added token (``<|endoftext|>``). Texts are cut at these places only,
 so the ids of the pieces, one after the other, are the ids of the text. A
-worker encodes each distinct piece once and looks the others up.
+worker encodes each distinct piece once and looks the others up: by a hash, and
+what is found counts only if its bytes are the same.
 """
 
 from __future__ import annotations
@@ -13,17 +14,16 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
 
-from .bytewise import Text
+from .bytewise import Text, same_ranges, words_at
 
 END_ID = 2
 #: Bytes that may follow a cut: printable ASCII, and lead bytes of U+00C0 to U+07FF, where no white space is.
 SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = True
 SOLID[0xC3:0xE0] = True
-#: A worker forgets its pieces beyond so many ids.
-MOST_IDS = 8_000_000
+#: A worker forgets its pieces beyond so many ids, or four times so many bytes.
+MOST_IDS = 4_000_000
 #: Pieces in one call, and pieces in the dict before they join the arrays.
 TOGETHER, NEWEST = 64, 1 << 17
 
@@ -59,13 +59,14 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Known pieces: sorted keys with their numbers, and the newest in a dict; ids of number k are ids[begins[k]:begins[k + 1]]."""
+        """Known pieces: sorted keys with their numbers, and the newest in a dict; ids of number k are ids[begins[k]:begins[k + 1]], its bytes raw[places[k]:places[k + 1]]."""
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.newest: dict[int, int] = {}
         self.ids, self.begins, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+        self.raw, self.places = np.zeros(1 << 17, np.uint8), np.zeros(1 << 12, np.int64)
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 for those that aren't known."""
+    def _find(self, text: Text, keys: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece, -1 for those that aren't known; whether another piece has its key."""
         out = np.full(len(keys), -1, np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -73,25 +74,34 @@ class Encoder:
             out[hit] = self.numbers[at[hit]]
         rest = np.flatnonzero(out < 0)
         out[rest] = np.fromiter((self.newest.get(k, -1) for k in keys[rest].tolist()), np.int64, len(rest))
-        return out
-
-    def _add(self, keys: np.ndarray, every: np.ndarray, sizes: np.ndarray) -> None:
-        begin, n = int(self.begins[self.count]), self.count
-        while begin + len(every) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(keys) + 1 > len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        found = np.flatnonzero(out >= 0)
+        begin, size = self.places[out[found]], stops[found] - starts[found]
+        like = self.places[out[found] + 1] - begin == size
+        like &= same_ranges(text.at, starts[found], begin, np.where(like, size, 0), np.ndarray((len(self.raw) - 7,), "<u8", self.raw.data, strides=(1,)))
+        other = np.zeros(len(keys), bool)
+        other[found[~like]] = True
+        out[found[~like]] = -1
+        return out, other
+
+    def _add(self, keys: np.ndarray, every: np.ndarray, sizes: np.ndarray, raw: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> None:
+        """Give pieces numbers, in their order; those ``known`` can be found again."""
+        begin, place, n = int(self.begins[self.count]), int(self.places[self.count]), self.count
+        grown = lambda x, need: np.concatenate([x, np.zeros(max(len(x), need - len(x)), x.dtype)]) if need > len(x) else x
+        self.ids, self.raw = grown(self.ids, begin + len(every)), grown(self.raw, place + len(raw) + 8)
+        self.begins, self.places = grown(self.begins, n + len(keys) + 1), grown(self.places, n + len(keys) + 1)
         self.ids[begin : begin + len(every)] = every
+        self.raw[place : place + len(raw)] = raw
         self.begins[n + 1 : n + len(keys) + 1] = begin + np.cumsum(sizes)
+        self.places[n + 1 : n + len(keys) + 1] = place + np.cumsum(lengths)
         self.count += len(keys)
-        self.newest.update(zip(keys.tolist(), range(n, self.count), strict=True))
+        self.newest.update(zip(keys[known].tolist(), (n + np.flatnonzero(known)).tolist(), strict=True))
         if len(self.newest) > NEWEST:
             both = np.concatenate([self.keys, np.fromiter(self.newest.keys(), np.uint64, len(self.newest))])
             numbers = np.concatenate([self.numbers, np.fromiter(self.newest.values(), np.int32, len(self.newest))])
             order = np.argsort(both, kind="stable")
             self.keys, self.numbers, self.newest = both[order], numbers[order], {}
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray, known: np.ndarray) -> None:
         """Encode pieces and remember them, in their order.
 
         Pieces that begin as a cut does can stand one after the other in one
@@ -116,12 +126,13 @@ class Encoder:
         texts = [raw[starts[i] : stops[i]].decode("utf-8", "replace") for i in alone]
         for i, found in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             got[i] = np.array(found.ids, np.uint32)
-        self._add(keys, np.concatenate(got), np.array([len(x) for x in got]))
+        where = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self._add(keys, np.concatenate(got), np.array([len(x) for x in got]), data[where], sizes, known)
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each document, and the offsets of the documents in them."""
         data, n = text.data, len(text.data)
-        if self.begins[self.count] > MOST_IDS:
+        if max(self.begins[self.count], self.places[self.count] // 4) > MOST_IDS:
             self.forget()
         cut = np.zeros(n + 1, bool)
         cut[: n - 1] = (data[:-1] == 0x20) & SOLID[data[1:]] if n else False
@@ -130,22 +141,25 @@ class Encoder:
         cut[text.offsets] = True
         # A space that ends a document is followed by another document, not by a word.
         ends_with_space = text.offsets[1:-1][data[text.offsets[1:-1] - 1] == 0x20] - 1 if n and text.n > 1 else np.zeros(0, np.int64)
-        starts_here = np.isin(ends_with_space, text.offsets)
+        edge = np.zeros(n + 1, bool)
+        edge[text.offsets] = True
+        starts_here = edge[ends_with_space]
         cut[ends_with_space[~starts_here]] = False
         at = np.flatnonzero(cut)
         starts, stops = at[:-1], at[1:]
         keys = text.hashes(starts, stops)
-        codes, unique = pd.factorize(keys)
-        first = np.zeros(len(unique), np.int64)
-        first[codes[::-1]] = np.arange(len(keys))[::-1]
-        slots = self._find(unique)
+        codes, first, alone = text.codes(starts, stops, keys)
+        unique, begin, end = keys[first], starts[first], stops[first]
+        slots, other = self._find(text, unique, begin, end)
+        # Of pieces with one key, the first can be found again.
+        other[alone:] = True
         new = np.flatnonzero(slots < 0)
         if len(new):
-            self._learn(data, starts[first[new]], stops[first[new]], unique[new])
+            self._learn(data, begin[new], end[new], unique[new], ~other[new])
             slots[new] = np.arange(self.count - len(new), self.count)
         own, size = self.begins[slots][codes], (self.begins[slots + 1] - self.begins[slots])[codes]
         # Ids before each piece, with an end id after each document.
-        doc = text.doc_of(starts) if len(starts) else np.zeros(0, np.int64)
+        doc = text.docs_of(starts)
         per_doc = np.bincount(doc, size, text.n).astype(np.int64) + 1
         offsets = np.concatenate([[0], np.cumsum(per_doc)])
         out = np.empty(offsets[-1], np.uint32)
