@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import folder as shared_dir
+from ..shared import forget as drop_settled
+from ..shared import scratch
 
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
 SPACES = r"\x20\x09-\x0D"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+#: The most files of a settled table for each core of the cluster.
+FILES = 4
+
+
+def settle(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with a committed table that outlives any executor. The
-    files go when the JVM ends.
+    files go when the JVM ends. Partitions are written one after the other by
+    ``FILES`` tasks for each core, so that many small ones don't become as many
+    files; with ``few`` false, each is a task (which functions that ask for
+    their task's number need).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(FILES * spark.sparkContext.defaultParallelism)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_settled(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`settle` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the earlier rows of ``group``.
 
