@@ -37,23 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewise import BASE, Text, U, column_bytes, mix
+from .bytewise import BASE, Text, U, column_bytes, mix, words_at
 from .common import settle
 
 DEPTH = 50
-BATCH, PIECE, BUCKET = 4 << 20, 1 << 20, 512 << 20
+BATCH, PIECE, BUCKET = 4 << 20, 1 << 20, 32 << 20
 #: Stands for a null id, which is larger than any other.
 NULL = np.iinfo(np.int64).max
 SORT_AT_ONCE = 25_000
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position, as one number (beyond the end: 0): a view, eight numbers share each byte."""
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    return np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
-
-
 def range_hashes(at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each range of eight bytes or more; ``at`` is :func:`words_at`."""
     h = size.astype(U)
@@ -404,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     form = "batch long, ids binary, sizes binary, text binary, n long"
-    batches = settle(texts.mapInArrow(_packed(batch_bytes), form), "batches")
+    batches = settle(texts.mapInArrow(_packed(batch_bytes), form), "batches", few=False)
     total = batches.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     answer = "batch long, bucket int, answer binary"
