@@ -31,6 +31,6 @@ def registered() -> dict:
 
 def oracles() -> dict:
     """Query name -> DuckDB SQL, where SQL can express the operator."""
-    from . import block_names, mix_schedule
+    from . import block_names, chat_tools, mix_schedule
 
-    return {"op4_mix_sources": mix_schedule.ORACLE_SQL, "op9_exact_dedup": block_names.ORACLE_SQL}
+    return {"op4_mix_sources": mix_schedule.ORACLE_SQL, "op5_chat_formatting": chat_tools.ORACLE_SQL, "op9_exact_dedup": block_names.ORACLE_SQL}
