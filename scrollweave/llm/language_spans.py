@@ -28,6 +28,8 @@ from .bytewise import Text, U, chunks, mix
 
 BITS = 16
 PENALTY = 20.0
+#: The most languages a model has: those with most rows, of equals the first by name.
+MOST_LANGUAGES = 256
 #: A language is a candidate for a script that has this share of its letters.
 SHARE = 0.005
 UNKNOWN = "und"
@@ -35,33 +37,33 @@ UNKNOWN = "und"
 #: First code points of blocks by script; each ends where the next begins. 0 is no script of its own.
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "hangul", "ethiopic", "khmer", "kana", "han")
 BLOCKS = ((0x0041, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0900, 7), (0x0E00, 8), (0x0E80, 0), (0x10A0, 9), (0x1100, 10), (0x1200, 11), (0x1380, 0), (0x1780, 12), (0x1800, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C60, 1), (0x2C80, 0), (0x2DE0, 3), (0x2E00, 0), (0x2E80, 14), (0x3040, 13), (0x3100, 14), (0xA000, 0), (0xAC00, 10), (0xD7B0, 0), (0xF900, 14), (0xFB00, 1), (0xFB13, 0), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6), (0xFF00, 0), (0xFF21, 1), (0xFF66, 13), (0xFFA0, 10), (0x10000, 0), (0x20000, 14))
-TOP = 0x20000
+#: No letter is assigned from here on.
+TOP = 0x40000
 
 _tables: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
-    """Letter or mark, lower case, script: by code point up to TOP, which stands for all beyond."""
+    """Letter, letter or mark, lower case, script: by code point up to TOP, which stands for all beyond."""
     if not _tables:
-        letter, lower = np.zeros(TOP + 1, bool), np.arange(TOP + 1, dtype=np.uint32)
+        letter, inside, lower = np.zeros(TOP + 1, bool), np.zeros(TOP + 1, bool), np.arange(TOP + 1, dtype=np.uint32)
         for c in range(TOP):
-            if unicodedata.category(chr(c))[0] in "LM":
-                letter[c] = True
+            if (kind := unicodedata.category(chr(c))[0]) in "LM":
+                letter[c], inside[c] = kind == "L", True
                 if len(low := chr(c).lower()) == 1:
                     lower[c] = ord(low)
-        letter[TOP] = True
         script = np.zeros(TOP + 1, np.int64)
         for first, s in BLOCKS:
             script[first:] = s
-        _tables[:] = [letter, lower, script]
+        _tables[:] = [letter, inside, lower, script]
     return _tables
 
 
 class Words:
-    """The words of some documents: maximal runs of letters."""
+    """The words of some documents: maximal runs of letters and marks with a letter among them."""
 
     def __init__(self, text: Text):
-        letter, lower, script = tables()
+        letter, inside, lower, script = tables()
         raw = text.data.tobytes().decode("utf-8", "replace").encode("utf-32-le")
         points = np.frombuffer(raw, "<u4")
         offsets = np.concatenate([[0], np.cumsum(text.per_doc((text.data & 0xC0) != 0x80))])
@@ -69,14 +71,22 @@ class Words:
             each = [text.data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(text.offsets[:-1], text.offsets[1:], strict=True)]
             points, offsets = np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])])
         kind = np.minimum(points, TOP)
-        is_letter = letter[kind]
+        is_letter = inside[kind]
         chars = Text(kind, offsets)
         self.n = text.n
         self.starts, self.ends = chars.runs(is_letter)
+        # Runs of marks alone are no words.
+        before = np.concatenate([[0], np.cumsum(letter[kind])])
+        real = before[self.ends] > before[self.starts]
+        for a, b in zip(self.starts[~real].tolist(), self.ends[~real].tolist(), strict=True):
+            is_letter[a:b] = False
+        self.starts, self.ends = self.starts[real], self.ends[real]
         self.docs = chars.doc_of(self.starts)
         self.begin = self.starts - offsets[self.docs]
         self.size = self.ends - self.starts
-        self.script = script[kind[self.starts]]
+        # A word's script is its first letter's.
+        first = np.searchsorted(before, before[self.starts], "right") - 1
+        self.script = script[kind[first]]
         # Letters one after the other; a word's first has no letter before it, its last none after.
         low = lower[kind[is_letter]].astype(U)
         edge = np.cumsum(self.size)
@@ -193,7 +203,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(rows: DataFrame) -> Model:
-    """From rows (text, lang) without nulls in lang; a table of 2 ** BITS counts per language reaches the driver."""
+    """From rows (text, lang) without nulls in lang; a table of 2 ** BITS counts for each of MOST_LANGUAGES at most reaches the driver."""
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = rows.filter(F.col("lang").isin([r["lang"] for r in most]))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for row in counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect():
