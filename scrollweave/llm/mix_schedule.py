@@ -77,18 +77,19 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """doc_id, source, size, p: the words of a source, its documents shuffled, have places; p is the first of a document."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("part", F.substring("h", 1, 3))
+    sized = settle(sized.withColumn("part", F.substring("h", 1, 3)), "sized")
     return running_sum(sized, ["source"], "part", ["h", "doc_id", "size"], F.col("size"), "p").select("doc_id", "source", "size", "p")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_slot: one row for each row of ``docs``.
+    """doc_id, size, source_size, target, taken, first_slot, second_slot, source, p: one row for each row of ``docs``.
 
     A null text has no words, and a document without words is not taken; a null
     source is a source of its own, named last; ids may be null or repeat (each
     row has places of its own). A document across a block's edge belongs to
-    both blocks. first_slot is null where nothing is taken. An empty table
-    gives an empty result. Same rows, same result.
+    both blocks. first_slot is the schedule's first slot with words of the
+    document, second_slot the first in which it comes again; null where there is
+    none. An empty table gives an empty result. Same rows, same result.
     """
     placed = settle(places(docs, id_col, text_col, source_col), "places")
     plan = settle(targets(placed), "targets").withColumn("words", F.floor(F.col("target") + 0.5))
@@ -98,34 +99,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Where a document stands in its source's words, the first time and again.
     turns = full.filter("size > 0").withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")))
     turns = turns.withColumn("a", F.col("p") + F.col("turn") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words")))
-    turns = turns.filter("a < b").select("source", "p", "a", "b", F.explode(F.expr(f"sequence(a div {block_words}, (b - 1) div {block_words})")).alias("r"))
+    turns = turns.filter("a < b").select("source", "p", "turn", "a", "b", F.explode(F.expr(f"sequence(a div {block_words}, (b - 1) div {block_words})")).alias("r"))
     slots = slots.withColumnsRenamed({"source": "_src", "r": "_r"})
     held = turns.join(slots, turns.source.eqNullSafe(slots._src) & (turns.r == slots._r))
     words = F.least("b", (F.col("r") + 1) * block_words) - F.greatest("a", F.col("r") * block_words)
-    taken = held.groupBy("source", "p").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"))
+    taken = held.groupBy("source", "p").agg(F.sum(words).alias("taken"), F.min(F.when(F.col("turn") == 0, F.col("slot"))).alias("first_slot"), F.min(F.when(F.col("turn") == 1, F.col("slot"))).alias("second_slot"))
     taken = taken.withColumnsRenamed({"source": "_src", "p": "_p"})
     out = full.join(taken, full.source.eqNullSafe(taken._src) & (full.p == taken._p) & (full.size > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "source", "p")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "second_slot", "source", "p")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each time, rounded where the target cuts a document."""
-    taken = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("tid"), F.col("source").alias("tsrc"), F.col("size").alias("tsize")).agg(F.sum("taken").alias("words"))
+    """``docs`` as the mix takes them, in the order of the schedule: a row for each time, rounded where the target cuts a document.
+
+    All columns stay, whatever their names; files of the result, one after the
+    other, have the rows by slot. Texts without words (or null) are not taken;
+    rows that repeat id, source and size are taken alike; an empty table gives
+    an empty one.
+    """
+    spark = docs.sparkSession
+    key = lambda i, s, n: (F.col(i).alias("tid"), F.col(s).alias("tsrc"), F.col(n).alias("tsize"))
+    mixed = mix(docs).groupBy(*key("doc_id", "source", "size"))
+    mixed = mixed.agg(F.sum("taken").alias("words"), F.count(F.lit(1)).alias("n"), F.min("first_slot").alias("one"), F.min("second_slot").alias("two")).filter("words > 0")
+    times = F.floor(F.col("words") / (F.col("n") * F.col("tsize")) + 0.5).cast("int")
+    mixed = settle(mixed.select("tid", "tsrc", "tsize", F.slice(F.array_compact(F.array("one", "two")), 1, times).alias("slots")).filter("size(slots) > 0"), "taken")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"), word_count(F.col("text")).alias("size"))
-    count = rows.groupBy(F.col("id").alias("tid"), F.col("src").alias("tsrc"), F.col("size").alias("tsize")).agg(F.count(F.lit(1)).alias("n"))
-    same = taken.tid.eqNullSafe(count.tid) & taken.tsrc.eqNullSafe(count.tsrc) & (taken.tsize == count.tsize)
-    times = F.floor(F.col("words") / (F.col("n") * taken.tsize) + 0.5).cast("int")
-    taken = taken.join(count, same).select(taken.tid, taken.tsrc, taken.tsize, times.alias("times")).filter("times > 0")
-    out = rows.join(taken, rows.id.eqNullSafe(taken.tid) & rows.src.eqNullSafe(taken.tsrc) & (rows.size == taken.tsize))
-    return out.select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+    out = rows.join(mixed, rows.id.eqNullSafe(mixed.tid) & rows.src.eqNullSafe(mixed.tsrc) & (rows.size == mixed.tsize)).select("row", F.explode("slots").alias("slot"), "id")
+    # Slots are numbers from 0, so that their ranges need no sampling.
+    parts, last = int(spark.conf.get("spark.sql.shuffle.partitions")), mixed.agg(F.max(F.array_max("slots"))).first()[0] or 0
+    out = out.repartitionById(parts, F.expr(f"cast(slot * {parts} div {last + 1} as int)")).sortWithinPartitions("slot", "id")
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The words taken don't depend on the order of slots, so the SQL cuts each source's words at its target.
-ORACLE_SQL = r"""
+ORACLE_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
@@ -142,9 +152,27 @@ flag AS (SELECT *, (total - caps) / (weight - gone) > cap / w AS capped FROM run
 level AS (
   SELECT *, sum(CASE WHEN capped THEN cap ELSE 0.0 END) OVER () AS allcaps, sum(CASE WHEN capped THEN w ELSE 0.0 END) OVER () AS allgone FROM flag),
 goal AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * ((total - allcaps) / nullif(weight - allgone, 0.0)) END AS target FROM level)
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * ((total - allcaps) / nullif(weight - allgone, 0.0)) END AS target FROM level),
+plan AS (SELECT *, floor(target + 0.5)::BIGINT AS words, (floor(target + 0.5)::BIGINT + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS need FROM goal),
+shares AS (
+  SELECT source, need, sum(need) OVER (ORDER BY source NULLS LAST)::BIGINT AS hi, sum(need) OVER ()::BIGINT AS every FROM plan WHERE words > 0),
+points AS (SELECT slot, (slot::DOUBLE + 0.5::DOUBLE) * {GOLDEN}::DOUBLE AS x FROM (SELECT unnest(range((SELECT sum(need)::BIGINT FROM plan WHERE words > 0))) AS slot)),
+hit AS (
+  SELECT slot, source, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r
+  FROM points JOIN shares ON x - floor(x) >= (hi - need)::DOUBLE / every AND x - floor(x) < hi::DOUBLE / every),
+used AS (SELECT source, count(*) AS n FROM hit GROUP BY source),
+slots AS (
+  SELECT slot, source, r FROM hit WHERE r < need
+  UNION ALL
+  SELECT (SELECT count(*) FROM points) + r, source, r
+  FROM (SELECT s.source, unnest(range(coalesce(n, 0), need)) AS r FROM shares s LEFT JOIN used u ON s.source IS NOT DISTINCT FROM u.source)),
+full_ AS (SELECT placed.*, source_size, target, words FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source),
+first_ AS (
+  SELECT f.source, f.p, min(slot) AS first_slot
+  FROM full_ f JOIN slots s ON f.source IS NOT DISTINCT FROM s.source AND s.r >= f.p // {BLOCK_WORDS} AND s.r <= (least(f.p + f.size, f.words) - 1) // {BLOCK_WORDS}
+  WHERE f.size > 0 AND f.p < f.words GROUP BY ALL)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(p + size, floor(target + 0.5)::BIGINT) - p)
-        + greatest(0, least(p + source_size + size, floor(target + 0.5)::BIGINT) - p - source_size))::BIGINT AS taken
-FROM placed JOIN goal ON placed.source IS NOT DISTINCT FROM goal.source
+       (greatest(0, least(f.p + size, words) - f.p) + greatest(0, least(f.p + source_size + size, words) - f.p - source_size))::BIGINT AS taken,
+       CASE WHEN size > 0 THEN first_slot END AS first_slot
+FROM full_ f LEFT JOIN first_ ON f.source IS NOT DISTINCT FROM first_.source AND f.p = first_.p
 """
