@@ -1,6 +1,8 @@
 """The array code against plain Python."""
 
 import bisect
+import collections
+import math
 import random
 import re
 import zlib
@@ -18,7 +20,6 @@ def test_tokens_are_the_librarys():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     made = tokens.Encoder(tokens.default_path())
     got = []
     for _, _, text in bytewise.chunks(pa.array(TEXTS), 64):
@@ -27,6 +28,44 @@ def test_tokens_are_the_librarys():
     assert got == [t.encode(x or "", add_special_tokens=False).ids + [tokens.END_ID] for x in TEXTS]
 
 
+@pytest.fixture
+def poor_hashes(monkeypatch):
+    """Hashes of two bits, so that almost all things share theirs with others."""
+    hashes = bytewise.Text.hashes
+    monkeypatch.setattr(bytewise.Text, "hashes", lambda self, a, b: hashes(self, a, b) & np.uint64(3))
+
+
+def test_pieces_that_share_a_hash(poor_hashes):
+    test_tokens_are_the_librarys()
+
+
+def test_lines_and_words_that_share_a_hash(poor_hashes):
+    test_quality_counts()
+
+
+def test_long_pieces_whose_polynomials_are_the_same():
+    from tokenizers import Tokenizer
+
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: "b", 98: "a"})
+    twin = word.translate({97: "b", 98: "a"})
+    text = f"{word} {twin} {twin} {word}\n{twin}"
+    ids, _ = tokens.Encoder(tokens.default_path()).encode(next(bytewise.chunks(pa.array([text])))[2])
+    assert ids.tolist() == Tokenizer.from_file(tokens.default_path()).encode(text, add_special_tokens=False).ids + [tokens.END_ID]
+    m = quality_votes.measure(next(bytewise.chunks(pa.array([f"{word}\n{twin}"])))[2])
+    assert m["n_dup_lines"].tolist() == [0]
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 9, 63, 64, 65, 300])
+def test_codes_of_ranges(size):
+    rng = np.random.default_rng(size)
+    raw = [bytes(rng.integers(97, 99, max(0, size - int(rng.integers(0, 2))), np.uint8)) for _ in range(60)] + [b"x" * size] * 3
+    text = bytewise.Text(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    code, first, _ = text.codes(text.offsets[:-1], text.offsets[1:])
+    assert all((code[i] == code[j]) == (raw[i] == raw[j]) for i in range(len(raw)) for j in range(i)) and all(code[f] == k for k, f in enumerate(first))
+
+
 def plain_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -50,16 +89,76 @@ def test_quality_counts():
     assert got == [plain_counts(t) for t in TEXTS]
 
 
-def test_votes_are_learned():
-    rng = random.Random(0)
-    patterns = {}
-    for _ in range(4000):
+def plain_em(votes, start, strength, rounds=3000):
+    """(posterior of each document, penalised likelihood): EM as in the books, one document at a time."""
+    post = [0.99 if sum(v == 0 for v in d if v is not None) < start else 0.01 for d in votes]
+    rules, n, q = range(len(votes[0])), len(votes), quality_votes
+    for _ in range(rounds):
+        prior = (sum(post) + strength * q.GOOD) / (n + strength)
+        rate = [[(sum(p * d[r] for p, d in zip(w, votes, strict=True) if d[r] is not None) + strength * believed) / (sum(p for p, d in zip(w, votes, strict=True) if d[r] is not None) + strength) for believed, w in ((1 - q.MISFIRE, post), (1 - q.HIT, [1 - p for p in post]))] for r in rules]
+        new, like = [], 0.0
+        for d in votes:
+            a, b = prior, 1 - prior
+            for r in rules:
+                if d[r] is not None:
+                    a *= rate[r][0] if d[r] else 1 - rate[r][0]
+                    b *= rate[r][1] if d[r] else 1 - rate[r][1]
+            new.append(a / (a + b))
+            like += math.log(a + b)
+        moved, post = max(abs(x - y) for x, y in zip(new, post, strict=True)), new
+        if moved < 1e-10:
+            break
+    like += strength * (q.GOOD * math.log(prior) + (1 - q.GOOD) * math.log(1 - prior) + sum(b * math.log(x) + (1 - b) * math.log(1 - x) for r in rate for b, x in zip((1 - q.MISFIRE, 1 - q.HIT), r, strict=True)))
+    return post, like
+
+
+def votes_of(n, seed=0, rules=5, misfire=0.02, hit=0.6):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
         good = rng.random() < 0.8
-        votes = tuple(None if rng.random() < 0.2 else int(rng.random() >= (0.0005 if good else 0.5)) for _ in range(5))
-        patterns[votes] = patterns.get(votes, 0) + 1
-    model = quality_votes.learn(sorted(patterns.items(), key=str))
-    assert abs(model.prior - 0.8) < 0.05 and all(0.3 < bad < 0.65 for _, bad in model.told)
-    assert quality_votes.learn([]).prior == 0.8
+        out.append(tuple(None if rng.random() < 0.2 else int(rng.random() >= (misfire if good else hit)) for _ in range(rules)))
+    return out
+
+
+def learned(votes, strength=quality_votes.STRENGTH):
+    patterns = collections.Counter(votes)
+    matrix = np.array([[np.nan if v is None else v for v in p] for p in patterns], float)
+    return quality_votes.learn(matrix, np.array(list(patterns.values()), float), strength)
+
+
+def posterior_of(model, votes):
+    start, weights = model.weights()
+    return 1 / (1 + math.exp(-start - sum(w[v == 0] for w, v in zip(weights, votes, strict=True) if v is not None)))
+
+
+@pytest.mark.parametrize("strength", [2.0, 20.0])
+def test_em_gives_the_posteriors_of_a_plain_one(strength):
+    votes = votes_of(400)
+    model = learned(votes, strength)
+    want, _ = max((plain_em(votes, start, strength) for start in (1, 2, 3)), key=lambda x: x[1])
+    assert max(abs(posterior_of(model, v) - p) for v, p in zip(votes, want, strict=True)) < 1e-3
+
+
+def test_votes_are_learned():
+    model = learned(votes_of(20000))
+    assert abs(model.prior - 0.8) < 0.03
+    assert all(abs(1 - good - 0.02) < 0.01 and abs(1 - bad - 0.6) < 0.06 for good, bad in model.told)
+    beliefs = quality_votes.learn(np.zeros((0, 3)), np.zeros(0))
+    assert beliefs.prior == quality_votes.GOOD and len(beliefs.told) == 3
+
+
+def test_rule_that_errs_on_many_good_texts_is_outvoted():
+    names = [r.name for r in quality_votes.RULES]
+    votes = lambda *bad: tuple(0 if n in bad else 1 for n in names)
+    junk = ("symbols", "symbol_words", "letter_words", "letters")
+    own = [(votes(), 8000), (votes(*junk), 700), (votes(*junk[:3]), 100)]
+    for scale in (1, 100):
+        for rule in ("sentences", "function_words", "capitals", "symbols"):
+            for n in (0, 5, 3000):
+                found = [*own, (votes(rule), n)]
+                model = quality_votes.learn(np.array([v for v, _ in found], float), np.array([c * scale for _, c in found], float))
+                assert posterior_of(model, votes(rule)) > 0.5 > posterior_of(model, votes(*junk[:3]))
 
 
 def best_fit_decreasing(sizes):
@@ -163,6 +262,22 @@ def test_mixed_text_has_spans():
     assert (np.diff(state) != 0).sum() == 2
 
 
+def plain_words(text):
+    import unicodedata
+
+    kinds = [unicodedata.category(c)[0] for c in text]
+    found = [(m.start(), m.end()) for m in re.finditer("[LM]+", "".join(k if k in "LM" else "." for k in kinds))]
+    return [(a, b) for a, b in found if "L" in kinds[a:b]]
+
+
+def test_words_have_a_letter():
+    texts = ["\u0301", "\U000f0000", "a\u0301b \u0301 \u0302\u0301c", "\U00020000\U00030000", "1 2", "\U000e0100", "привет\u0301, x", "\U0001e900"]
+    for t in texts:
+        words = language_spans.Words(next(bytewise.chunks(pa.array([t])))[2])
+        assert list(zip(words.begin.tolist(), (words.begin + words.size).tolist(), strict=True)) == plain_words(t)
+        assert len(words.grams) == sum(b - a for a, b in plain_words(t))
+
+
 def plain_removed(texts, ids, depth):
     low = {}
     for t, i in zip(texts, ids, strict=True):
