@@ -91,6 +91,12 @@ def engines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, display_name string, requires_gpu boolean, description string")
 
 
+def system_info(spark: SparkSession) -> DataFrame:
+    """cores, workers, engines: what recognition can run on; engines are those that can be used."""
+    cores = spark.sparkContext.defaultParallelism
+    return spark.createDataFrame([(cores, int(spark.conf.get("spark.executor.instances", "1")), available())], "cores int, workers int, engines array<string>")
+
+
 def _runner(engine: str, options: dict, at_once: int):
     made: dict[str, Recogniser] = {}
 

@@ -63,12 +63,13 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with timestamp_seconds: each turn of a conversation is a frame of its words, after a name and a time."""
+    """Regions with timestamp_seconds: each turn of a conversation is a frame of its words, after a name and a time. Some words are unsure."""
     c = table(spark, sf_dir, "conversations")
     said = F.concat(F.array(F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod("turn", F.lit(3)) + 1).cast("int")), T.clock(9 * 3600 + F.col("turn") * 25)), T.words(F.col("text")))
     c = c.select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("frame_number"), (F.col("turn") * 0.5).alias("timestamp_seconds"), F.posexplode(said).alias("idx", "text"))
     row = F.when(F.col("idx") < 2, F.col("idx")).otherwise(F.expr("2 + (idx - 2) div 6")).cast("int")
-    return c.withColumns({"confidence": F.lit(0.9), "x": F.when(F.col("idx") < 2, 0).otherwise((F.col("idx") - 2) % 6 * 100), "y": row * 30, "w": F.length("text") * 10, "h": F.lit(12)})
+    sure = F.when(F.col("idx") < 2, 0.9).otherwise(((F.col("idx") * 37 + F.col("frame_number")) % 70 + 30) / 100)
+    return c.withColumns({"confidence": sure, "x": F.when(F.col("idx") < 2, 0).otherwise((F.col("idx") - 2) % 6 * 100), "y": row * 30, "w": F.length("text") * 10, "h": F.lit(12)})
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -345,3 +345,14 @@ def test_pipeline(spark):
     out = pipeline.transcripts(df)
     assert entries(out["entries"]) == [("John Smith", 41400, "Hello everyone, welcome to the meeting.")]
     assert out["statistics"].first().messages == 1
+
+
+def test_pipeline_of_recordings(spark):
+    v = spark.createDataFrame([("a", "/x/a.mp4", True, 640, 480, 2.0, 4), ("b", "/x/b.xyz", True, 640, 480, 2.0, 4), ("c", "/x/c.mov", True, 640, 480, 2.0, 2)], "video_id string, path string, present boolean, width int, height int, fps double, frame_count int")
+    said = [("a", n, 0, "John Smith", 0.9, 10) for n in range(4)] + [("a", n, 1, f"11:30:0{n}", 0.9, 50) for n in range(4)] + [("a", n, 2, f"Message number {n} of the meeting, {'abcd'[n] * 30}", 0.9, 90) for n in range(4)] + [("a", 0, 3, "unsure", 0.2, 130), ("b", 0, 0, "never read", 0.9, 10)]
+    regions = spark.createDataFrame([(a, n, i, t, c, 10, y, 50, 10, 99.0) for a, n, i, t, c, y in said], "video_id string, frame_number int, idx int, text string, confidence double, x int, y int, w int, h int, timestamp_seconds double")
+    out = pipeline.run(v, regions, config.Settings({"frame_extraction": {"fps": 2.0, "max_frames": 3}, "transcript_parsing": {"merge_consecutive": False}}))
+    assert {r.video_id: r.error for r in out["errors"].collect()} == {"b": "Unsupported format: .xyz"}
+    assert {r.frame_number: r.timestamp_seconds for r in out["texts"].collect()} == {0: 0.0, 1: 0.5, 2: 1.0}
+    assert "unsure" not in out["dedup"].first().full_text and {r.video_id: r.status for r in out["results"].collect()} == {"a": "success", "b": "error", "c": "success"}
+    assert recognize.system_info(spark).first().cores == 4
