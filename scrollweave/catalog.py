@@ -17,6 +17,7 @@ from .operators import dedup, detections, formats, frames, images, jobs, layout,
 from .plans import pipeline, sql, views
 from .shared import scratch
 from .sources import sinks
+from .streaming.entries import entries_stream
 from .streaming.scroll import frames_as_they_land, scroll_dedup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +273,19 @@ def scroll_dedup_streaming(spark, d):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+@query(f"WITH RECURSIVE {sql.MERGED} SELECT video_id::VARCHAR AS video_id, entry_no, speaker, \"timestamp\", timestamp_seconds, text FROM merged")
+def parse_streaming(spark, d):
+    base = scratch(spark, "stream")
+    lines = views.lines(spark, d)
+    ends = lines.groupBy("video_id").agg((F.max("line_no") + 1).alias("seq")).select("video_id", "seq", F.lit(None).cast("string").alias("text"))
+    texts = lines.select("video_id", F.col("line_no").alias("seq"), F.col("line").alias("text")).unionByName(ends)
+    texts.write.parquet(f"{base}/in")
+    out = entries_stream(spark.readStream.schema(texts.schema).parquet(f"{base}/in"))
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
 # Transcripts
 
 

@@ -177,6 +177,26 @@ def test_cross_dedup_is_greedy_keep_first(spark):
     assert dedup.cross_dedup_text(df.limit(0)).first().content == ""
 
 
+@pytest.mark.parametrize("merge", [True, False])
+def test_entry_parser_line_by_line(spark, merge):
+    from scrollweave.operators import transcript
+    from scrollweave.streaming.entries import EntryParser
+
+    rng = random.Random(7)
+    pool = ["John Smith", "Jane Doe", "11:30:00", "11:30:45", "12:00:00 after", "Ann Lee 11:31:10 both", "no name 11:32:00", "OK", "JD", "", "  ", "[x] Bob:", "some words of text.", "Another line here?", "@handle", "x" * 70, "Yes.", "A long sentence that Is not a name at all", "\u2003Zoë\u00a0 ", "9:05:07"]
+    texts = [[rng.choice(pool) for _ in range(rng.randint(0, 25))] for _ in range(150)]
+    want = {}
+    df = spark.createDataFrame([(i, k, line) for i, t in enumerate(texts) for k, line in enumerate(t)], "video_id int, line_no int, line string")
+    for r in transcript.parse(df, merge=merge).orderBy("video_id", "entry_no").collect():
+        want.setdefault(r.video_id, []).append((r.speaker, r.timestamp, r.timestamp_seconds, r.text))
+    for i, t in enumerate(texts):
+        parser, got = EntryParser(merge), []
+        for line in t:
+            got += parser.take(line)
+            parser = EntryParser(merge, kept=parser.kept)
+        assert got + parser.end() == want.get(i, [])
+
+
 def test_json_has_what_sql_says(spark, duck):
     import json
 
