@@ -160,7 +160,12 @@ def doc_key(docs: np.ndarray) -> np.ndarray:
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
+    return raw_bytes(pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()))
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import scratch
-from .bytewise import chunks
+from .bytewise import chunks, raw_bytes
 from .common import settle
 from .tokens import default_path, encoder
 
 MAX_BITS, STEP, BLOCK_IDS = 20, 128, 1 << 17
+#: The most ids that a part has on average.
+PART_IDS = 1 << 25
 HEAD = struct.Struct("<4sIQQII")
 MAGIC = b"SWH1"
 
@@ -154,8 +156,11 @@ def _counted(kind: str):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                got = np.bincount(np.frombuffer(row.as_buffer(), kind))
+            # No id is split between rows, so all rows are one run of ids.
+            data, offsets = raw_bytes(batch.column(0))
+            ids = np.frombuffer(data[offsets[0] : offsets[-1]], kind)
+            for lo in range(0, len(ids), 1 << 20):
+                got = np.bincount(ids[lo : lo + (1 << 20)])
                 if len(got) > len(total):
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
@@ -202,8 +207,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
         if held:
             yield flush()
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Rows that share an id, null included, may be many: their ids tell them apart.
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(count.sum()) // PART_IDS))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(blocks, "part int, seq int, block binary").write.option("compression", "none").parquet(f"{folder}/blocks")
 
 

@@ -23,9 +23,9 @@ SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = True
 SOLID[0xC3:0xE0] = True
 #: A worker forgets its pieces beyond so many ids, or four times so many bytes.
-MOST_IDS = 4_000_000
+MOST_IDS = 8_000_000
 #: Pieces in one call, and pieces in the dict before they join the arrays.
-TOGETHER, NEWEST = 64, 1 << 17
+TOGETHER, NEWEST = 128, 1 << 17
 
 _encoders: dict[str, Encoder] = {}
 
@@ -62,8 +62,8 @@ class Encoder:
         """Known pieces: sorted keys with their numbers, and the newest in a dict; ids of number k are ids[begins[k]:begins[k + 1]], its bytes raw[places[k]:places[k + 1]]."""
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.newest: dict[int, int] = {}
-        self.ids, self.begins, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
-        self.raw, self.places = np.zeros(1 << 17, np.uint8), np.zeros(1 << 12, np.int64)
+        self.ids, self.begins, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), 0
+        self.raw, self.places = np.zeros(1 << 17, np.uint8), np.zeros(1 << 12, np.int32)
 
     def _find(self, text: Text, keys: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece, -1 for those that aren't known; whether another piece has its key."""
@@ -101,33 +101,42 @@ class Encoder:
             order = np.argsort(both, kind="stable")
             self.keys, self.numbers, self.newest = both[order], numbers[order], {}
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray, known: np.ndarray) -> None:
-        """Encode pieces and remember them, in their order.
+    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Encode pieces and remember them; the order in which they got their numbers.
 
         Pieces that begin as a cut does can stand one after the other in one
         call, ``TOGETHER`` of them; the bytes of their ids tell them apart.
         """
-        raw, sizes = data.tobytes(), stops - starts
+        sizes = stops - starts
         cut_like = (data[starts] == 0x20) & (sizes > 1) & SOLID[data[np.minimum(starts + 1, len(data) - 1)]]
-        got: list[list[int] | np.ndarray | None] = [None] * len(starts)
-        joint = np.flatnonzero(cut_like)
-        groups = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
-        texts = [b"".join(raw[a:b] for a, b in zip(starts[g].tolist(), stops[g].tolist(), strict=True)) for g in groups]
-        alone = np.flatnonzero(~cut_like).tolist()
-        for g, found in zip(groups, self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            reach, ends = np.cumsum(self.widths[ids]), np.cumsum(sizes[g])
+        joint, alone = np.flatnonzero(cut_like), np.flatnonzero(~cut_like)
+        bytes_of = lambda which: data[np.repeat(starts[which] - (np.cumsum(sizes[which]) - sizes[which]), sizes[which]) + np.arange(sizes[which].sum())]
+        ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(joint):
+            raw, ends = bytes_of(joint).tobytes(), np.cumsum(sizes[joint])
+            edge = np.append(np.concatenate([[0], ends])[:-1:TOGETHER], ends[-1])
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, group = np.concatenate(found), np.arange(len(joint)) // TOGETHER
+            first = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            width = np.add.reduceat(self.widths[ids], first[:-1])
+            # Where each id ends, as if all groups had as many bytes as their texts.
+            reach = np.cumsum(self.widths[ids]) + np.repeat(edge[:-1] - (np.cumsum(width) - width), np.diff(first))
             last = np.searchsorted(reach, ends)
-            if last[-1] >= len(reach) or (reach[last] != ends).any():  # bytes that aren't UTF-8
-                alone += g.tolist()
-                continue
-            for i, lo, hi in zip(g.tolist(), [0, *(last[:-1] + 1).tolist()], (last + 1).tolist(), strict=True):
-                got[i] = ids[lo:hi]
-        texts = [raw[starts[i] : stops[i]].decode("utf-8", "replace") for i in alone]
-        for i, found in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            got[i] = np.array(found.ids, np.uint32)
-        where = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        self._add(keys, np.concatenate(got), np.array([len(x) for x in got]), data[where], sizes, known)
+            fits = (width == np.diff(edge)) & (np.bincount(group, (last >= len(reach)) | (reach[np.minimum(last, len(reach) - 1)] != ends)) == 0)
+            if not fits.all():  # bytes that aren't UTF-8
+                ids = ids[np.repeat(fits, np.diff(first))]
+                alone, joint, first, last = np.append(alone, joint[~fits[group]]), joint[fits[group]], first[:-1][group][fits[group]], last[fits[group]]
+                # The first piece of a group begins where the group does.
+                lead = np.append(True, group[fits[group]][1:] != group[fits[group]][:-1]) if len(joint) else np.zeros(0, bool)
+                counts = last + 1 - np.where(lead, first, np.append(0, last[:-1] + 1)[: len(joint)])
+            else:
+                counts = np.diff(last, prepend=-1)
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[alone].tolist(), stops[alone].tolist(), strict=True)]
+        more = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        order = np.append(joint, alone)
+        self._add(keys[order], np.concatenate([ids, *more]), np.append(counts, [len(x) for x in more]).astype(np.int64), bytes_of(order), sizes[order], known[order])
+        return order
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each document, and the offsets of the documents in them."""
@@ -155,8 +164,8 @@ class Encoder:
         other[alone:] = True
         new = np.flatnonzero(slots < 0)
         if len(new):
-            self._learn(data, begin[new], end[new], unique[new], ~other[new])
-            slots[new] = np.arange(self.count - len(new), self.count)
+            order = self._learn(data, begin[new], end[new], unique[new], ~other[new])
+            slots[new[order]] = np.arange(self.count - len(new), self.count)
         own, size = self.begins[slots][codes], (self.begins[slots + 1] - self.begins[slots])[codes]
         # Ids before each piece, with an end id after each document.
         doc = text.docs_of(starts)
