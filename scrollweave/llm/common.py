@@ -12,24 +12,36 @@ from ..shared import scratch
 SPACES = r"\x20\x09-\x0D"
 
 
-#: The most files of a settled table for each core of the cluster.
+#: Files of a settled table for each core of the cluster, where its inputs are small.
 FILES = 4
+#: Bytes of a row group of a settled table.
+ROW_GROUP = 16 << 20
+
+
+def _few(df: DataFrame) -> int:
+    """How many tasks are enough to write ``df``: one for each split of what it reads, or ``FILES`` for each core."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(FILES * spark.sparkContext.defaultParallelism, min(-(-size // split), 1 << 30))
 
 
 def settle(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with a committed table that outlives any executor. The
-    files go when the JVM ends. Partitions are written one after the other by
-    ``FILES`` tasks for each core, so that many small ones don't become as many
-    files; with ``few`` false, each is a task (which functions that ask for
-    their task's number need).
+    files go when the JVM ends. Partitions that are small for what is read are
+    written several by one task, so that they don't become as many files; with
+    ``few`` false, each is a task (which functions that ask for their task's
+    number need).
     """
     spark = df.sparkSession
     if few:
-        df = df.coalesce(FILES * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(_few(df))
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # Row groups are held in memory until they are written, and when they are read.
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

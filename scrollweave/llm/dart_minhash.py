@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewise import BASE, Text, U, chunks, doc_key, mix, windows
+from .bytewise import BASE, U, Text, chunks, doc_key, lean, mix, windows
 from .common import drop_settled, settle
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Sizes of sets fall into classes whose edges grow by this factor; bytes of text, and cells, that a worker takes at once.
-CLASS, CHUNK, CELLS = 1.05, 1 << 20, 1_000_000
+#: Sizes of sets fall into classes whose edges grow by this factor; cells that a worker takes at once.
+CLASS, CELLS = 1.05, 1_000_000
 #: Distribution function of the number of darts in a cell (Poisson with mean 1).
 DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
 
@@ -136,7 +136,7 @@ def _digests(keys: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int) ->
 def _sketched(bands: int, rows: int, words: int, weight: str):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, text in chunks(batch.column(1), CHUNK):
+            for lo, hi, text in chunks(batch.column(1)):
                 keys, docs, weights = weighted(*shingles(text, words), weight)
                 n = hi - lo
                 sign = signatures(keys, docs, weights, n, bands * rows).reshape(n, bands, rows)
@@ -161,7 +161,7 @@ def _sets(words: int, weight: str):
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, text in chunks(batch.column(0), CHUNK):
+            for lo, hi, text in chunks(batch.column(0)):
                 keys, docs, weights = weighted(*shingles(text, words), weight)
                 n = hi - lo
                 one, two = _digests(keys, docs, weights, n)
@@ -264,10 +264,11 @@ def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
 
 def _candidates(sets: DataFrame, similar: float) -> DataFrame:
     """a, b: all pairs of ``sets`` with different labels that can have similarity ``similar``, and few others."""
-    rows = settle(_prefixes(sets, similar), "prefixes")
-    per = rows.groupBy("item", "class", "label").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = settle(_prefixes(sets, similar), "prefixes")
+    per = prefixes.groupBy("item", "class", "label").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("item", "class").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    rows = settle(rows.join(per.select("item", "class", F.col("most.label").alias("most")), ["item", "class"]), "met")
+    rows = settle(prefixes.join(per.select("item", "class", F.col("most.label").alias("most")), ["item", "class"]), "met")
+    drop_settled(prefixes)
     # Of a pair with two labels, one isn't the most frequent: those that have it never meet one another.
     few = rows.filter("label <> most").select("item", "class", *(F.col(c).alias(f"{c}_") for c in ("rid", "label", "n", "probe", "at")))
     share = similar / (1 + similar)
@@ -275,7 +276,10 @@ def _candidates(sets: DataFrame, similar: float) -> DataFrame:
     room = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
     fits = (F.col("label") != F.col("label_")) & (F.col("probe") != F.col("probe_")) & (room >= F.ceil(share * (F.col("n") + F.col("n_")) - 1e-6))
     hit = rows.join(few, ["item", "class"]).filter(fits)
-    return hit.select(F.least("rid", "rid_").alias("a"), F.greatest("rid", "rid_").alias("b"), F.least("label", "label_").alias("la"), F.greatest("label", "label_").alias("lb")).distinct()
+    pairs = hit.select(F.least("rid", "rid_").alias("a"), F.greatest("rid", "rid_").alias("b"), F.least("label", "label_").alias("la"), F.greatest("label", "label_").alias("lb"))
+    pairs = settle(pairs.distinct(), "pairs")
+    drop_settled(rows)
+    return pairs
 
 
 def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -288,7 +292,7 @@ def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     labelled = members.join(roots, members.rid == roots.v, "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     open_ = labelled.join(mixed.select("bucket"), "bucket").select("rid", "label").distinct()
-    pairs = settle(_candidates(sets.join(open_, "rid"), similar), "pairs")
+    pairs = _candidates(sets.join(open_, "rid"), similar)
     links = _alike(pairs, sets, similar).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(links).withColumnsRenamed({"v": "w", "label": "top"})
     every = roots.unionByName(roots.select(F.col("label").alias("v"), "label")).unionByName(joined.select(F.col("w").alias("v"), F.col("w").alias("label"))).distinct()
@@ -307,7 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     looked at; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = texts.mapInArrow(_sketched(bands, rows, words, weight), "doc_id long, sha binary, d1 long, d2 long, n_shingles long, bands array<long>")
+    sketch = texts.mapInArrow(lean(_sketched(bands, rows, words, weight)), "doc_id long, sha binary, d1 long, d2 long, n_shingles long, bands array<long>")
     sketch = settle(sketch, "sketches")
     reps = sketch.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     reps = settle(reps.withColumn("rid", F.monotonically_increasing_id()), "sets")
@@ -315,7 +319,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = settle(band.join(shared, "bucket"), "buckets")
     wanted = reps.join(members.select("rid").distinct(), "rid").select("d1", "d2", "rid")
-    items = texts.select("text").mapInArrow(_sets(words, weight), "d1 long, d2 long, items array<long>")
+    items = texts.select("text").mapInArrow(lean(_sets(words, weight)), "d1 long, d2 long, items array<long>")
     items = settle(items.join(wanted, ["d1", "d2"]).dropDuplicates(["rid"]).select("rid", "items"), "items")
     labels = linked(members, items, similar).withColumnRenamed("v", "rid")
     labelled = settle(reps.join(labels, "rid", "left").select("d1", "d2", "least", "n", F.coalesce("label", "rid").alias("label")), "labelled")
@@ -345,3 +349,21 @@ def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_size", "n_shingles", "kept")
+
+
+#: All pairs of texts that share a shingle, compared exactly; components by following links.
+ORACLE_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i : i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, w FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS to_ FROM n UNION SELECT r.doc_id, b.b FROM reach r JOIN ends b ON b.a = r.to_),
+class AS (SELECT doc_id, min(to_) AS class_id, count(*) AS class_size FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(class_size, 1)::BIGINT AS class_size, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(class_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id)
+"""

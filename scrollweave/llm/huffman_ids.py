@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import scratch
-from .bytewise import chunks, raw_bytes
+from .bytewise import chunks, lean, raw_bytes
 from .common import settle
 from .tokens import default_path, encoder
 
@@ -149,7 +149,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([batch.column(0)[lo:hi], raw], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids binary")
+    return rows.mapInArrow(lean(encode), "doc_id long, ids binary")
 
 
 def _counted(kind: str):
@@ -176,7 +176,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     path = path or default_path()
     kind = encoder(path).kind
     ids = settle(encoded(docs, path, id_col, text_col), "ids")
-    counts = ids.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = ids.select("ids").mapInArrow(lean(_counted(kind)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         count[r["id"]] = r["n"]
@@ -211,7 +211,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(count.sum()) // PART_IDS))
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
     ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(blocks, "part int, seq int, block binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(lean(blocks), "part int, seq int, block binary").write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -237,7 +237,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
 
     form = "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     blocks = spark.read.schema("part int, seq int, block binary").parquet(f"{folder}/blocks").select("part", "block")
-    rows = settle(blocks.mapInArrow(decode, form), "decoded")
+    rows = settle(blocks.mapInArrow(lean(decode), form), "decoded")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     out = rows.join(parts, "part")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewise import Text, U, chunks, mix
+from .bytewise import U, Text, chunks, lean, mix
 
 BITS = 16
 PENALTY = 20.0
@@ -206,7 +206,7 @@ def learn(rows: DataFrame) -> Model:
     """From rows (text, lang) without nulls in lang; a table of 2 ** BITS counts for each of MOST_LANGUAGES at most reaches the driver."""
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     rows = rows.filter(F.col("lang").isin([r["lang"] for r in most]))
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for row in counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect():
         by, script = got[row["lang"]] = np.zeros(1 << BITS, np.int64), np.zeros(len(SCRIPTS), np.int64)
@@ -253,7 +253,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([batch.column(0)[lo:hi], pa.array(pred), pa.array(score), pa.ListArray.from_arrays(pa.array(per), spans)], ["doc_id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tag, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    return rows.mapInArrow(lean(tag), f"doc_id long, lang_pred string, score double, spans {SPANS}")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewise import SPACE, Text, U, chunks, distinct, doc_key, windows
+from .bytewise import SPACE, U, Text, chunks, distinct, doc_key, lean, windows
 from .common import settle
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twice", "n_upper", "n_letters", "n_shouts", "n_ends", "n_symbol_words", "n_letter_words", "n_capital_words", "n_distinct", "n_function_words", "n_letter_chars")
@@ -153,7 +153,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and FEATURES: one row for each row of ``docs``; a null text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES))
+    return rows.mapInArrow(lean(_measured), "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
 def vote(rule: Rule) -> Column:
@@ -245,9 +245,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def good_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, whatever their names.
 
-    The verdict is taken again where the row is, so texts are not shuffled.
+    The verdict is taken again where the row is, so texts are not shuffled. Rows
+    with a null or empty text go; rows that repeat stay as often as they stand
+    there; ids aren't looked at; an empty table gives an empty one.
     """
     start, weights = fit(features(docs)).weights()
     at = docs.columns.index("text")
@@ -259,7 +261,7 @@ def good_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
                 stay[lo:hi] = verdicts(measure(text), start, weights, keep)
             yield batch.filter(pa.array(stay))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(lean(sift), docs.schema)
 
 
 def verdicts(got: dict[str, np.ndarray], start: float, weights: list[tuple[float, float]], keep: float) -> np.ndarray:

@@ -86,7 +86,7 @@ class Encoder:
     def _add(self, keys: np.ndarray, every: np.ndarray, sizes: np.ndarray, raw: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> None:
         """Give pieces numbers, in their order; those ``known`` can be found again."""
         begin, place, n = int(self.begins[self.count]), int(self.places[self.count]), self.count
-        grown = lambda x, need: np.concatenate([x, np.zeros(max(len(x), need - len(x)), x.dtype)]) if need > len(x) else x
+        grown = lambda x, need: np.concatenate([x, np.zeros(max(len(x) // 4, need - len(x)), x.dtype)]) if need > len(x) else x
         self.ids, self.raw = grown(self.ids, begin + len(every)), grown(self.raw, place + len(raw) + 8)
         self.begins, self.places = grown(self.begins, n + len(keys) + 1), grown(self.places, n + len(keys) + 1)
         self.ids[begin : begin + len(every)] = every
