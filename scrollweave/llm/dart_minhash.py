@@ -218,7 +218,7 @@ def _led(members: DataFrame) -> DataFrame:
     """
     shares = members.groupBy("rid").agg(F.sum("size").alias("shares"))
     rows = members.join(shares, "rid").select("bucket", F.struct("shares", "rid").alias("own"))
-    lead = rows.groupBy("bucket").agg(F.max("own").alias("lead"))
+    lead = settle(rows.groupBy("bucket").agg(F.max("own").alias("lead")), "leads")
     best = rows.join(lead, "bucket").filter("own < lead").groupBy("own.rid").agg(F.max("lead").alias("lead"))
     return best.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b"))
 
@@ -249,7 +249,7 @@ def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
     share = similar / (1 + similar)
     each = sets.select("rid", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
     common = each.groupBy("item").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    kept = each.join(common, "item").groupBy("rid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("order"))
+    kept = each.join(settle(common, "common"), "item").groupBy("rid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("order"))
     size_class = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
     need = lambda n, m: F.ceil(share * (n + m) - 1e-6)
     n = F.col("n")
@@ -267,7 +267,8 @@ def _candidates(sets: DataFrame, similar: float) -> DataFrame:
     prefixes = settle(_prefixes(sets, similar), "prefixes")
     per = prefixes.groupBy("item", "class", "label").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("item", "class").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    rows = settle(prefixes.join(per.select("item", "class", F.col("most.label").alias("most")), ["item", "class"]), "met")
+    per = settle(per.select("item", "class", F.col("most.label").alias("most")), "most")
+    rows = settle(prefixes.join(per, ["item", "class"]), "met")
     drop_settled(prefixes)
     # Of a pair with two labels, one isn't the most frequent: those that have it never meet one another.
     few = rows.filter("label <> most").select("item", "class", *(F.col(c).alias(f"{c}_") for c in ("rid", "label", "n", "probe", "at")))
@@ -291,7 +292,7 @@ def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     roots = _roots(trees)
     labelled = members.join(roots, members.rid == roots.v, "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    open_ = labelled.join(mixed.select("bucket"), "bucket").select("rid", "label").distinct()
+    open_ = labelled.join(settle(mixed.select("bucket"), "mixed"), "bucket").select("rid", "label").distinct()
     pairs = _candidates(sets.join(open_, "rid"), similar)
     links = _alike(pairs, sets, similar).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(links).withColumnsRenamed({"v": "w", "label": "top"})
@@ -317,7 +318,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     reps = settle(reps.withColumn("rid", F.monotonically_increasing_id()), "sets")
     band = reps.select("rid", F.explode("bands").alias("bucket"))
     shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = settle(band.join(shared, "bucket"), "buckets")
+    # What is joined by bucket is written first, so that a hot bucket can be split.
+    members = settle(band.join(settle(shared, "shared"), "bucket"), "buckets")
     wanted = reps.join(members.select("rid").distinct(), "rid").select("d1", "d2", "rid")
     items = texts.select("text").mapInArrow(lean(_sets(words, weight)), "d1 long, d2 long, items array<long>")
     items = settle(items.join(wanted, ["d1", "d2"]).dropDuplicates(["rid"]).select("rid", "items"), "items")
