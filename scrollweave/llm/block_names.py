@@ -6,9 +6,9 @@ the names of adjacent blocks are paired, the distinct pairs named, and so on,
 until each text has one name. (level, name) is an identity without collisions:
 no digest decides what is equal.
 
-Scale: the distinct blocks are pre-aggregated before the shuffle; a block that
-a third of all rows share is one row per map task there, and its rows in the
-join back are split by the skew join. After the first level only integers
+Scale: equal blocks are counted before the shuffle; a block that a third of all
+rows share is one row per map task there, and its rows in the join back are
+split by the skew join. A block that occurs once needs no number but its place. After the first level only integers
 move. The number of levels is the logarithm of the longest text's blocks. All
 of it is DataFrame operations; blocks are cut where texts are read.
 """
@@ -24,14 +24,20 @@ BLOCK_BYTES = 2048
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``name``: equal for equal ``keys`` only.
+    """Add ``name``: equal for equal ``keys`` only. ``rows`` have a ``place`` of their own.
 
-    A hash partition holds a fixed set of distinct keys; sorted, each gets the
-    same number in every run of the task.
+    Keys that occur once are named by their place, below 0. The others are
+    sorted and numbered: a hash partition holds a fixed set of them, so each
+    gets the same number in every run of the task. They are written, so that
+    the join back is one of two tables, which is split where a key is hot.
     """
-    names = rows.select(*keys).distinct().sortWithinPartitions(*keys)
-    names = names.select(*keys, F.monotonically_increasing_id().alias("name"))
-    return rows.join(names, keys)
+    names = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*keys).sortWithinPartitions(*keys)
+    names = settle(names.select(*keys, F.monotonically_increasing_id().alias("name")), "names")
+    return rows.join(names, keys, "left").withColumn("name", F.coalesce("name", -1 - F.col("place")))
+
+
+#: Stands for the block after the last, where their number is odd; no name is as low.
+NO_BLOCK = -(1 << 63)
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -47,16 +53,17 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     head = F.when(F.col("pos") == 0, F.struct("doc_id", "sha"))
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("data"), i * block_bytes + 1, F.lit(block_bytes)))
     blocks = texts.select("row", "n", "doc_id", F.unhex(F.sha2("data", 256)).alias("sha"), F.posexplode(cut).alias("pos", "block"))
-    level = settle(_named(blocks.select("row", "n", "pos", head.alias("head"), "block"), ["block"]).drop("block"), "block-names")
+    blocks = blocks.select("row", "n", "pos", head.alias("head"), "block", F.monotonically_increasing_id().alias("place"))
+    level = settle(_named(blocks, ["block"]).drop("block"), "block-names")
     rows = level.filter("pos = 0").select("row", "head.doc_id", "head.sha")
     most = level.agg(F.max("n")).first()[0] or 1
-    level = level.select("row", "n", "pos", "name")
+    level = level.select("row", "n", "pos", "name", "place")
     done = [level.filter("n = 1").select("row", F.lit(0).alias("level"), "name")]
     number = 0
     while most > 1:
         number, most = number + 1, (most + 1) // 2
         pairs = level.filter("n > 1").groupBy("row", F.expr("cast((n + 1) div 2 as int)").alias("n"), F.expr("cast(pos div 2 as int)").alias("pos"))
-        pairs = pairs.agg(F.max(F.expr("if(pos % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(pos % 2 = 1, name, null)")), F.lit(-1)).alias("b"))
+        pairs = pairs.agg(F.max(F.expr("if(pos % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(pos % 2 = 1, name, null)")), F.lit(NO_BLOCK)).alias("b"), F.min("place").alias("place"))
         level = settle(_named(pairs, ["a", "b"]).drop("a", "b"), "pair-names")
         done.append(level.filter("n = 1").select("row", F.lit(number).alias("level"), "name"))
     last = done[0]
