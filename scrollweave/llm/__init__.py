@@ -31,6 +31,12 @@ def registered() -> dict:
 
 def oracles() -> dict:
     """Query name -> DuckDB SQL, where SQL can express the operator."""
-    from . import block_names, chat_tools, mix_schedule
+    from . import block_names, chat_tools, dart_minhash, mix_schedule, suffix_windows
 
-    return {"op4_mix_sources": mix_schedule.ORACLE_SQL, "op5_chat_formatting": chat_tools.ORACLE_SQL, "op9_exact_dedup": block_names.ORACLE_SQL}
+    return {
+        "op1_suffix_array_dedup": suffix_windows.ORACLE_SQL,
+        "op4_mix_sources": mix_schedule.ORACLE_SQL,
+        "op5_chat_formatting": chat_tools.ORACLE_SQL,
+        "op9_exact_dedup": block_names.ORACLE_SQL,
+        "op10_dart_minhash": dart_minhash.ORACLE_SQL,
+    }

@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-from .bytewise import Text, same_ranges, words_at
+from .bytewise import Text, same_ranges
 
 END_ID = 2
 #: Bytes that may follow a cut: printable ASCII, and lead bytes of U+00C0 to U+07FF, where no white space is.

@@ -39,6 +39,16 @@ def test_pieces_that_share_a_hash(poor_hashes):
     test_tokens_are_the_librarys()
 
 
+def test_bytes_that_are_no_text():
+    from tokenizers import Tokenizer
+
+    raw = [b" a b " + b"\xff" * 3 + b" c d", " né ok".encode() * 50, b" \xc3x y", b"x" + " wörd".encode() * 300 + b" \xe2\x82 z"]
+    text = bytewise.Text(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    ids, edge = tokens.Encoder(tokens.default_path()).encode(text)
+    plain = Tokenizer.from_file(tokens.default_path())
+    assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == [plain.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids + [tokens.END_ID] for x in raw]
+
+
 def test_lines_and_words_that_share_a_hash(poor_hashes):
     test_quality_counts()
 
@@ -186,6 +196,66 @@ def test_packing_is_tight():
             assert (offset[own][order] == np.cumsum(size[own][order]) - size[own][order]).all()
 
 
+def plain_sum_of_squares(sizes, capacity):
+    """Each piece where the sum over gaps of the squared number of open sequences becomes smallest; of equals the smallest gap; of sequences with that gap the latest."""
+    gaps, out, ends = [], [], []
+    for size in sizes:
+        best = None
+        for gap in sorted({g for g in gaps if g >= size}):
+            count = collections.Counter(g for g in gaps if g > 0)
+            count[gap] -= 1
+            if gap > size:
+                count[gap - size] += 1
+            cost = sum(n * n for n in count.values())
+            if best is None or cost < best[0]:
+                best = (cost, gap)
+        if best is None:
+            gaps.append(capacity - size)
+            ends.append(len(out))
+            out.append((len(gaps) - 1, 0))
+        else:
+            at = max((i for i, g in enumerate(gaps) if g == best[1]), key=lambda i: ends[i])
+            ends[at] = len(out)
+            out.append((at, capacity - gaps[at]))
+            gaps[at] -= size
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_sum_of_squares_against_plain(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, (33, 17, 9)[seed % 3], 120)
+    sizes = np.sort(sizes)[::-1] if seed % 2 else sizes
+    at, offset = bestfit_pack.sum_of_squares(sizes, 32)
+    assert list(zip(at.tolist(), offset.tolist(), strict=True)) == plain_sum_of_squares(sizes.tolist(), 32)
+
+
+def plain_votes(text):
+    """The votes of quality_votes.RULES from the text as characters."""
+    q, text = quality_votes, text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n_words, chars, symbols, dup, repeat = plain_counts(text)
+    letter = lambda c: c.isascii() and c.isalpha() or c >= "\xc0" or "\x80" <= c
+    big, small = re.findall("[A-Z\u00c0-\u00de]", text), re.findall("[a-z\u00df-\u00ff]", text)
+    have = {
+        "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": len(lines),
+        "n_twice": sum(a == b for a, b in zip(words, words[1:])), "n_upper": len(big), "n_letters": len(big) + len(small), "n_shouts": text.count("!"),
+        "n_ends": sum(w[-1] in ".?!" for w in words), "n_symbol_words": sum(bool(re.search(r"[#*$%&|<>]", w)) for w in words), "n_letter_words": sum(any(map(letter, w)) for w in words),
+        "n_capital_words": sum(sum("A" <= c <= "Z" for c in w) >= 2 and sum("A" <= c <= "Z" for c in w) == sum(map(letter, w)) for w in words),
+        "n_distinct": len(set(words)), "n_function_words": sum(w in f for w in words) if (f := {x for w in q.FUNCTION_WORDS for x in (w, w.capitalize())}) else 0, "n_letter_chars": sum(map(letter, "".join(words))),
+    }
+    out = []
+    for rule in q.RULES:
+        top, bottom = have[rule.top], have[rule.bottom]
+        if bottom < rule.least:
+            out.append(None)
+            continue
+        good, bad = (top / bottom <= rule.good, top / bottom >= rule.bad) if rule.good < rule.bad else (top / bottom >= rule.good, top / bottom <= rule.bad)
+        out.append(1 if good else 0 if bad else None)
+    return tuple(out)
+
+
 @pytest.mark.parametrize("counts", [[0, 5], [1, 1, 0, 2], [3 ** (i % 30) for i in range(400)], [1] * 5000])
 def test_huffman_round_trip(counts):
     counts = np.array(counts)
@@ -303,5 +373,17 @@ def test_radix_groups():
         assert (group[i] >= 0) == (len(same) > 1) and all(group[j] == group[i] for j in same)
 
 
+def test_sorted_ranges():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 400, np.uint8)
+    data[200:320] = data[40:160]
+    start, size, key = rng.integers(0, 340, 600), rng.integers(8, 60, 600), rng.integers(0, 3, 600).astype(np.uint64)
+    start[300:], size[300:], key[300:] = start[:300] % 100 + 40, 50, 1
+    start[450:] = start[300:450] + 160
+    codes = suffix_windows.sorted_ranges(suffix_windows.words_at(data), start, size, key)
+    what = [(k, data[a : a + n].tobytes()) for k, a, n in zip(key.tolist(), start.tolist(), size.tolist(), strict=True)]
+    assert len(set(zip(what, codes.tolist(), strict=True))) == len(set(what)) == len(set(codes.tolist()))
+
+
 def test_crc_is_of_four_byte_ids():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")

@@ -15,7 +15,7 @@ from scrollweave import llm
 from scrollweave.llm import bestfit_pack, block_names, chat_tools, dart_minhash, huffman_ids, language_spans, mix_schedule, quality_votes, secret_links, suffix_windows, tokens
 
 from ..conftest import DATA, duck_rows, rows
-from .test_numpy import plain_counts, plain_removed
+from .test_numpy import plain_counts, plain_em, plain_removed, plain_votes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,6 +55,18 @@ def test_quality(spark, duck, docs):
     assert kept == {i for i, g in got.items() if g.kept}
 
 
+def test_verdicts_against_plain_votes(spark, docs):
+    got = run(spark, "op2_quality_rules")
+    texts = {d[0]: d[1] for d in docs if all(ord(c) < 256 and not 0x80 <= ord(c) < 0xC0 for c in d[1])}
+    votes = {i: plain_votes(t) for i, t in texts.items()}
+    said = {1: "g", 0: "b", None: "-"}
+    assert len(texts) > 100 and all("".join(said[v] for v in votes[i]) == got[i].votes for i in texts)
+    every = [tuple({"g": 1, "b": 0, "-": None}[c] for c in r.votes) for r in got.values()]
+    post, _ = max((plain_em(every, start, quality_votes.STRENGTH, 400) for start in (1, 2, 3)), key=lambda x: x[1])
+    for r, p in zip(got.values(), post, strict=True):
+        assert abs(r.p_quality - p) < 1e-3 and r.kept == (not r.base_failed and p >= 0.5)
+
+
 def test_texts_that_only_the_sentences_rule_calls_bad(spark):
     rows = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
     verse = [" ".join(("the " * (k % 4 == 0)) + "line" + "".join(chr(97 + int(c)) for c in str((i * 31 + k * 7) % 997)) + "\n" * (k % 9 == 8) for k in range(60)) for i in range(len(rows) // 3)]
@@ -265,6 +277,38 @@ def test_group_whose_copies_only_resemble_their_source(spark):
     assert [got[i] for i in range(len(texts))] == classes_of(texts)
 
 
+@pytest.mark.parametrize("similar", [0.8, 0.55])
+def test_bucket_of_unlike_texts_loses_no_link(spark, similar):
+    rng = np.random.default_rng(int(similar * 100))
+    sets = []
+    for _ in range(40):
+        base = rng.choice(900, int(rng.integers(3, 60)), replace=False).tolist()
+        for _ in range(int(rng.integers(1, 8))):
+            cut = int(len(base) * rng.random() * 0.35)
+            sets.append(set(base[cut:]) | set((rng.integers(0, 900, cut) if rng.random() < 0.7 else []) if cut else []))
+    sets += [set(range(k, k + 20)) for k in range(0, 40, 2)]  # a chain whose ends are unlike
+    sets = [x for x in sets if x]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= (similar - 1e-9) * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    members = spark.createDataFrame([(b, i, len(sets)) for i in range(len(sets)) for b in (1, 2 + i % 3)], "bucket long, rid long, size long")
+    items = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(sets)], "rid long, items array<long>")
+    got = {r.v: r.label for r in dart_minhash.linked(members, items, similar).collect()}
+    names = [got.get(i, i) for i in range(len(sets))]
+    assert all((names[i] == names[j]) == (label[i] == label[j]) for i in range(len(sets)) for j in range(i))
+    assert len(set(label)) < len(sets) - 20
+
+
+def test_block_that_all_texts_share(spark):
+    texts = ["same block " * 8 + str(i % 37) + "x" * (i % 5) for i in range(400)] + ["same block " * 8, "same block " * 16]
+    got = block_names.exact_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_bytes=8).collect()
+    last = {t: i for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {i: (last[t], texts.count(t), last[t] == i) for i, t in enumerate(texts)}
+
+
 def test_weights_by_count(spark):
     df = spark.createDataFrame([(1, "a b c d e " * 20), (2, "a b c d e " * 24), (3, "a b c d e")], "doc_id long, text string")
     same = {r.doc_id: r.class_id for r in dart_minhash.classes(df, weight="count").collect()}
