@@ -9,12 +9,13 @@ document only is dropped as soon as a digit shows it. The digits of a suffix:
    and the anchor's place. Equal suffixes have equal anchors, and successive
    suffixes share theirs, so this digit is sorted once for a dozen suffixes.
    Only here do all documents meet, as 4 bytes per anchor.
-2. the stretch of text that the suffixes with one anchor cover: equal stretches
-   are groups of equal suffixes at once;
-3. where an anchor has different stretches, the bytes, eight at a time.
+2. the bytes, eight at a time, of the stretch of text that the suffixes with one
+   anchor cover: equal stretches are groups of equal suffixes at once;
+3. where an anchor has different stretches, the bytes of the suffixes
+   themselves, eight at a time, up to ``depth``.
 
 Hashes choose anchors and drop groups (a collision keeps a group for nothing);
-bytes alone say what is equal.
+digits alone say what is equal.
 
 Scale: documents are packed into batches, which meet by range of the first
 digit. A batch sends each anchor once, with its least document, so a passage
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewise import BASE, Text, U, column_bytes, mix, words_at
+from .bytewise import BASE, U, Text, column_bytes, lean, mix, words_at
 from .common import settle
 
 DEPTH = 50
@@ -47,14 +48,6 @@ NULL = np.iinfo(np.int64).max
 SORT_AT_ONCE = 25_000
 
 
-def range_hashes(at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range of eight bytes or more; ``at`` is :func:`words_at`."""
-    h = size.astype(U)
-    for k in range(0, int(size.max(initial=0)), 8):
-        h = mix(h * BASE + at[start + np.minimum(k, size - 8)])
-    return h
-
-
 class Stretches:
     """All suffixes of a batch that reach ``depth`` within their document, by anchor: start, last (suffix starts), key (hash of the anchor), doc."""
 
@@ -137,7 +130,7 @@ class Batch:
         self.id = self.ids[self.all.doc[use]]
         end = self.last + self.depth
         at = words_at(self.data)
-        codes = same_bytes(at, self.start, end - self.start, range_hashes(at, self.start, end - self.start) + key)
+        codes = sorted_ranges(at, self.start, end - self.start, key)
         _, first, self.content = np.unique(codes, return_index=True, return_inverse=True)
         # Numbered in the order of keys, as the stretches are.
         rank = np.argsort(np.argsort(first))
@@ -148,27 +141,34 @@ class Batch:
         np.minimum.at(self.least, self.content, self.id)
 
 
-def same_bytes(at: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Codes that are equal for equal byte ranges. Ranges whose hash is another's but bytes are not get codes of their own."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    codes, unique = pd.factorize(h)
-    codes = codes.astype(np.int64)
-    like = np.zeros(len(unique), np.int64)
-    like[codes[::-1]] = np.arange(len(codes))[::-1]
-    like = like[codes]
-    rest = np.flatnonzero(like != np.arange(len(codes)))
-    wrong = rest[size[rest] != size[like[rest]]]
-    rest = np.setdiff1d(rest, wrong, assume_unique=True)
-    if len(rest):
-        differs = np.zeros(len(rest), bool)
-        for k in range(0, int(size[rest].max()), 8):
-            # The last eight bytes again, instead of fewer: ranges are longer than that.
-            step = np.minimum(k, size[rest] - 8)
-            differs |= at[start[rest] + step] != at[start[like[rest]] + step]
-        wrong = np.append(wrong, rest[differs])
-    codes[wrong] = len(unique) + np.arange(len(wrong))
-    return codes
+def sorted_ranges(at: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Codes of byte ranges of eight bytes or more, equal where key, size and bytes are, by most significant digits.
+
+    The digits are key and size, then the bytes, eight at a time (the last
+    eight again, instead of fewer). What is alone in its group is done.
+    """
+    out = np.full(len(start), -1, np.int64)
+    live, made = np.arange(len(start)), 0
+    group = pd.factorize(pd.factorize(key)[0].astype(np.int64) * (int(size.max(initial=0)) + 1) + size)[0]
+    for k in range(0, int(size.max(initial=0)) + 8, 8):
+        stay = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        live, group = live[stay], group[stay]
+        ended = size[live] <= k
+        if ended.any():
+            number, groups = pd.factorize(group[ended])
+            out[live[ended]], made = made + number, made + len(groups)
+            live, group = live[~ended], group[~ended]
+        if not len(live):
+            break
+        digit = at[start[live] + np.minimum(k, size[live] - 8)]
+        order = np.lexsort((digit, group))
+        new = np.ones(len(live), bool)
+        new[1:] = (group[order][1:] != group[order][:-1]) | (digit[order][1:] != digit[order][:-1])
+        group = np.empty(len(live), np.int64)
+        group[order] = np.cumsum(new) - 1
+    alone = out < 0
+    out[alone] = made + np.arange(int(alone.sum()))
+    return out
 
 
 def radix(at: np.ndarray, place: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
@@ -320,7 +320,7 @@ def smaller_suffixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, key:
     start = own
     # Second digit: equal stretches.
     at = words_at(data)
-    codes = same_bytes(at, start, size, range_hashes(at, start, size) + key.astype(U))
+    codes = sorted_ranges(at, start, size, key)
     _, first, code = np.unique(codes, return_index=True, return_inverse=True)
     low = np.full(len(first), NULL)
     np.minimum.at(low, code, least)
@@ -397,21 +397,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     form = "batch long, ids binary, sizes binary, text binary, n long"
-    batches = settle(texts.mapInArrow(_packed(batch_bytes), form), "batches", few=False)
+    batches = settle(texts.mapInArrow(lean(_packed(batch_bytes)), form), "batches", few=False)
     total = batches.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     answer = "batch long, bucket int, answer binary"
     gather = lambda df, name: df.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
-    anchors = batches.mapInArrow(_anchors(depth, buckets), "bucket int, batch long, keys binary, several binary")
+    anchors = batches.mapInArrow(lean(_anchors(depth, buckets)), "bucket int, batch long, keys binary, several binary")
     shared = settle(gather(anchors.groupBy("bucket").applyInArrow(_shared, answer), "shared"), "shared")
     known = batches.join(shared, "batch", "left").select("batch", "ids", "sizes", "text", "shared")
-    cells = known.mapInArrow(_stretches(depth, buckets), "bucket int, batch long, count long, cell binary")
+    cells = known.mapInArrow(lean(_stretches(depth, buckets)), "bucket int, batch long, count long, cell binary")
     smaller = settle(gather(cells.groupBy("bucket").applyInArrow(_smaller(depth), answer), "smaller"), "smaller")
     known = known.join(smaller, "batch", "left").select("batch", "ids", "sizes", "text", "shared", "smaller")
-    return known.mapInArrow(_removed(depth), f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
+    return known.mapInArrow(lean(_removed(depth)), f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows of 50 bytes, as hex digits, grouped as they are.
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM t WHERE len(h) >= 100)),
+low AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN low USING (s) WHERE least < w.doc_id),
+grp AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INT AS new FROM hit)),
+runs AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM grp GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+kept AS (SELECT c.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM cut c JOIN t USING (doc_id) GROUP BY c.doc_id)
+SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
