@@ -81,7 +81,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result.
     """
     named = settle(identities(docs, id_col, text_col, block_bytes), "identities")
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Written before it is joined, so that a hot group can be split.
+    groups = settle(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     kept = F.col("row") == F.col("keep.row")
     each = named.join(groups, ["level", "name"])
     return each.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
