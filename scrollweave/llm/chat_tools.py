@@ -140,7 +140,8 @@ def format_turns(conversations: DataFrame, schemas: dict[str, dict[str, tuple[st
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    marked = turns.filter(F.col("text").contains("<tool_")).dropDuplicates(["conv_id", "turn", "sha"])
+    marked = turns.filter(F.col("text").contains("<tool_")).select("conv_id", "turn", "sha", "text")
+    marked = settle(marked.dropDuplicates(["conv_id", "turn", "sha"]), "marked")
     calls = linked_calls(marked, schemas)
     call = F.struct("arguments", "fault", "id", "level", "name", "result_turn", "status")
     calls = calls.groupBy(*(F.col(c).alias(f"c_{c}") for c in ("conv_id", "turn", "sha"))).agg(
