@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytewise import chunks, lean
 from .common import settle
-from .tokens import default_path, encoder
+from .tokens import TEXT_BYTES, default_path, encoder
 
 CAPACITY = 1024
 SHARD = 1 << 15
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, text in chunks(batch.column(1)):
+            for lo, hi, text in chunks(batch.column(1), TEXT_BYTES):
                 ids, offsets = encoder(path).encode(text)
                 size = np.diff(offsets)
                 many = -(-size // capacity)

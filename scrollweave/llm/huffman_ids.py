@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..shared import scratch
 from .bytewise import chunks, lean, raw_bytes
 from .common import settle
-from .tokens import default_path, encoder
+from .tokens import TEXT_BYTES, default_path, encoder
 
 MAX_BITS, STEP, BLOCK_IDS = 20, 128, 1 << 17
 #: The most ids that a part has on average.
@@ -143,7 +143,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, text in chunks(batch.column(1)):
+            for lo, hi, text in chunks(batch.column(1), TEXT_BYTES):
                 ids, offsets = encoder(path).encode(text)
                 raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
                 yield pa.record_batch([batch.column(0)[lo:hi], raw], ["doc_id", "ids"])

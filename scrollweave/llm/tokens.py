@@ -27,6 +27,9 @@ MOST_IDS = 8_000_000
 #: Pieces in one call, and pieces in the dict before they join the arrays.
 TOGETHER, NEWEST = 128, 1 << 17
 
+#: Bytes of text that are encoded together: the more, the fewer pieces are looked up twice.
+TEXT_BYTES = 2 << 20
+
 _encoders: dict[str, Encoder] = {}
 
 
