@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from scrollweave import catalog  # noqa: E402
 from scrollweave.ship import ship  # noqa: E402
 
-HEADLINE = ("frame_sampling", "confidence_filter", "reading_order", "bbox_merge", "normalize_text", "line_predicates", "indel_ratio", "parse_entries", "merge_consecutive", "transcript_stats", "format_markdown", "format_srt", "queue_status", "scroll_dedup", "dedup_stats", "whole_pipeline")
+HEADLINE = ("frame_sampling", "confidence_filter", "reading_order", "bbox_merge", "normalize_text", "line_predicates", "indel_ratio", "parse_entries", "merge_consecutive", "transcript_stats", "format_markdown", "format_srt", "queue_status", "scroll_dedup")
 
 
 def main() -> None:
