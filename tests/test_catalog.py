@@ -116,6 +116,29 @@ def test_overlap_and_new_content_against_plain(seed):
     assert S.new_content(first, second) == plain_addition(first, second, 0.85)
 
 
+def test_overlap_costs_a_few_comparisons_of_whole_texts(monkeypatch):
+    from scrollweave.functions import similarity as S
+
+    rng, spent = random.Random(4), []
+    first, second = (" ".join(rng.choice(["the", "thing", "and", "of", "ing", "there", "an"]) + rng.choice("abcdef") for _ in range(400)) for _ in range(2))
+    counted = S._matched
+    monkeypatch.setattr(S, "_matched", lambda a, places, size, least=0: spent.append(size * size) or counted(a, places, size, least))
+    assert S.overlap(first, second) == (-1, 0)
+    assert sum(spent) < 5 * min(len(first), len(second)) ** 2
+
+
+def test_ratio_over_threshold_against_plain():
+    from scrollweave.functions import similarity as S
+
+    rng = random.Random(5)
+    for k in range(60):
+        a = "".join(rng.choice("abcde \u4e16\U0001f600") for _ in range(rng.randint(90, 300)))
+        b = "".join(ch for ch in a if rng.random() > 0.01 * k)
+        b = b + a[: k % 7]
+        for threshold in (0.5, 0.85, 0.95, plain_ratio(a, b)):
+            assert S.over(a, b, threshold) == (plain_ratio(a, b) > threshold)
+
+
 def test_simple_dedup_against_plain(spark):
     want, found = [], []
     for v in range(6):
