@@ -11,29 +11,35 @@ from pyspark.sql import functions as F
 
 #: The white space that text is stripped of and split at, and a time of day.
 WS = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space, and all else, as classes that settle most characters by their first range.
+SPACE, INK = f"[[^!-~]&&[{WS}]]", f"[!-~[^{WS}]]"
 TIME = "[0-9]{1,2}:[0-9]{2}:[0-9]{2}"
 
 
 def strip(c: Column) -> Column:
     """Without white space at the ends; a run inside is tried once, from its first character."""
-    return F.regexp_replace(c, f"^[{WS}]++|(?<![{WS}])[{WS}]++\\z", "")
+    return F.regexp_replace(c, f"^{SPACE}++|(?<!{SPACE}){SPACE}++\\z", "")
 
 
 def normalize(c: Column) -> Column:
     """Lower case, white space as one space, stripped."""
-    return F.trim(F.regexp_replace(F.lower(c), f"[{WS}]+", " "))
+    return _single_spaced(F.lower(c))
+
+
+def _single_spaced(c: Column) -> Column:
+    """White space as one space, none at the ends; what is one space already isn't touched."""
+    return F.trim(F.regexp_replace(c, f"[[^ -~]&&[{WS}]]{SPACE}*| {SPACE}+", " "))
 
 
 def words(c: Column) -> Column:
     """The words, split at white space; none for blank text."""
-    s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{WS}]+"))
+    return F.when(~c.rlike(INK), F.array().cast("array<string>")).otherwise(F.split(_single_spaced(c), " "))
 
 
 def word_count(c: Column) -> Column:
-    """How many words, without making them."""
-    each = F.length(F.regexp_replace(c, f"[{WS}]*+[^{WS}]++[{WS}]*+", "x"))
-    return F.when(c.rlike(f"[^{WS}]"), each).when(c.isNotNull(), F.lit(0))
+    """How many words, without making them: one more than the spaces between them."""
+    each = F.length(F.regexp_replace(_single_spaced(c), "[^ ]+", "")) + 1
+    return F.when(c.rlike(INK), each).when(c.isNotNull(), F.lit(0))
 
 
 def skip_words(c: Column, n: Column) -> Column:

@@ -47,12 +47,12 @@ def polygon_box(polygon: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), (F.array_max(xs) - F.array_min(xs)).cast("int").alias("w"), (F.array_max(ys) - F.array_min(ys)).cast("int").alias("h"))
 
 
-def _lines(boxes: Column, breaks) -> Column:
-    """Boxes in (y, x, idx) order, dealt into lines; ``breaks`` compares a box with its line's first.
+def _lines(ordered: Column, breaks) -> Column:
+    """Boxes, given in (y, x, idx) order, dealt into lines; ``breaks`` compares a box with its line's first.
 
-    Only the y of boxes go through the fold, which says where lines begin.
+    Only the y of boxes go through the fold, which says where lines begin. What
+    it says is bound before it is used, or it would be made again for each use.
     """
-    ordered = F.array_sort(boxes)
     start = F.struct(F.lit(None).cast("int").alias("first"), F.array().cast("array<int>").alias("at"))
 
     def step(state: Column, box: Column) -> Column:
@@ -60,7 +60,8 @@ def _lines(boxes: Column, breaks) -> Column:
         return F.struct(F.when(new, box["y"]).otherwise(state["first"]).alias("first"), F.when(new, F.concat(state["at"], F.array(box["i"]))).otherwise(state["at"]).alias("at"))
 
     at = F.aggregate(F.transform(ordered, lambda b, i: F.struct(b["y"].alias("y"), i.alias("i"))), start, step)["at"]
-    return F.transform(F.arrays_zip(at.alias("a"), F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(ordered))).alias("b")), lambda line: F.slice(ordered, line["a"] + 1, line["b"] - line["a"]))
+    cut = lambda at: F.transform(at, lambda a, k: F.slice(ordered, a + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - a))
+    return F.flatten(F.transform(F.array(at), cut))
 
 
 def _boxes(text: str) -> Column:
