@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .frames import histogram_similarity, mse_similarity
+from pyspark.sql.types import DoubleType
 
 #: Weights of blue, green and red in grey, in parts of 2 ** 14.
 GREY = (1868, 9617, 4899)
@@ -67,10 +67,38 @@ def reverse_channels(frames: DataFrame) -> DataFrame:
     return _each(frames, (), lambda image: image[:, :, ::-1].tobytes(), "binary", "_rgb").withColumn("image", F.col("_rgb")).drop("_rgb")
 
 
+def _compared(a: pd.Series, b: pd.Series, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.Series:
+    """``of`` of rows of a and b, those of one size together; 0 for null or unequal sizes."""
+    sizes = np.array([-1 if x is None or y is None or len(x) != len(y) else len(x) for x, y in zip(a, b, strict=True)], np.int64)
+    out = np.zeros(len(a))
+    for n in set(sizes.tolist()) - {-1}:
+        at = np.flatnonzero(sizes == n)
+        out[at] = of(*(np.stack(c.iloc[at].to_numpy()).astype(np.float64) for c in (a, b))) if n else 1.0
+    return pd.Series(out)
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    spread = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return (np.divide((a * b).sum(1), spread, out=np.ones(len(a)), where=spread > 0) + 1) / 2
+
+
+@F.pandas_udf(DoubleType())
+def _by_histogram(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _compared(a, b, _correlation)
+
+
+@F.pandas_udf(DoubleType())
+def _by_level(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _compared(a, b, lambda x, y: np.maximum(0.0, 1 - ((x - y) ** 2).mean(1) / (255.0 * 255.0)))
+
+
 def similarity(pairs: DataFrame, method: str = "histogram") -> Column:
-    """Similarity of columns a and b: :func:`histogram` or :func:`levels` of two frames; any other method is the histogram's."""
-    a, b = F.col("a").cast("array<double>"), F.col("b").cast("array<double>")
-    return mse_similarity(a, b) if method == "mse" else histogram_similarity(a, b)
+    """Similarity of columns a and b: :func:`histogram` or :func:`levels` of two frames; any other method is the histogram's.
+
+    As :func:`scrollweave.operators.frames.frame_similarity`, a batch of pairs at a time.
+    """
+    return (_by_level if method == "mse" else _by_histogram)(F.col("a"), F.col("b"))
 
 
 def save(frames: DataFrame, folder: str) -> DataFrame:

@@ -139,6 +139,39 @@ def test_ratio_over_threshold_against_plain():
             assert S.over(a, b, threshold) == (plain_ratio(a, b) > threshold)
 
 
+def test_boxes_are_sorted_once_for_lines(spark):
+    from pyspark.sql import functions as F
+
+    from scrollweave.operators import layout
+
+    box = "array<struct<y:int,x:int,idx:int,w:int,h:int,text:string>>"
+    df = spark.createDataFrame([([(0, 0, 0, 1, 1, "a"), (5, 0, 1, 1, 1, "b"), (21, 0, 2, 1, 1, "c"), (50, 0, 3, 1, 1, "d")],), ([],)], f"b {box}")
+    lined = df.select(layout._lines(F.col("b"), lambda y, first: F.abs(y - first) > 20).alias("l"))
+    assert [[[b.text for b in line] for line in r.l] for r in lined.collect()] == [[["a", "b"], ["c"], ["d"]], []]
+    plan = lined._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and plan.count("aggregate(") == 1
+
+
+def test_native_ratio_of_short_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from scrollweave.functions import similarity as S
+
+    rng = random.Random(6)
+    texts = [tuple("".join(rng.choice("abc é\U0001f600") for _ in range(n)) for n in sizes) for sizes in ((0, 0), (0, 3), (5, 0), (1, 1), (70, 62), (62, 62), (30, 61), (40, 63), (9, 64), (80, 12))]
+    df = spark.createDataFrame([*texts, (None, "a"), ("a", None)], "a string, b string").select("a", "b", S.ratio_native(F.col("a"), F.col("b")).alias("r"))
+    for r in df.collect():
+        assert r.r is None if None in (r.a, r.b) else abs(r.r - plain_ratio(r.a, r.b)) < 1e-12
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftleft" in plan.lower() or "<<" in plan
+
+
+@pytest.mark.parametrize("name", ["image_similarity", "image_similarity_mse"])
+def test_histograms_are_not_broadcast(spark, name):
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_simple_dedup_against_plain(spark):
     want, found = [], []
     for v in range(6):
