@@ -216,6 +216,26 @@ def views_frames(spark):
     return views.frames_text(spark, DATA).collect()
 
 
+def test_pairs_over_threshold_many_at_once(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(2)
+    left = ["".join(rng.choice("abcde \u00e9\U0001f600") for _ in range(rng.choice((1, 5, 40, 63, 64, 65, 128, 130)))) for _ in range(9)]
+    right = ["".join(c if rng.random() > 0.1 else "z" for c in rng.choice(left)) for _ in range(12)]
+    i, j = np.divmod(np.arange(108), 12)
+    for threshold, at_once in ((0.3, 7), (0.7, 4096), (0.85, 7)):
+        monkeypatch.setattr(dedup, "AT_ONCE", at_once)
+        want = [plain_ratio(left[x], right[y]) > threshold for x, y in zip(i, j, strict=True)]
+        assert dedup._pairs_over(left, right, i, j, threshold).tolist() == want and any(want) and not all(want)
+
+
+def test_blocks_of_lines_meet_in_one_direction_in_many_tasks(spark):
+    lines = spark.createDataFrame([(k, f"line number {k} of many") for k in range(300)], "l int, lt string")
+    pairs = dedup.similar_pairs(lines, lines)
+    assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(sorted((r.l, r.r))) for r in pairs.collect()} == {(x, y) for x in range(300) for y in range(x, 300) if plain_ratio(f"line number {x} of many", f"line number {y} of many") > 0.85}
+
+
 def test_cross_dedup_is_greedy_keep_first(spark):
     texts = ["The quick brown fox\nabc\nHello there world\nThe quick brown fix", "the quick  brown fox\nHello there worlds!\nsomething else entirely\nThe quack brown fix", "something else entirely.\nnew line of text here", *("\n".join(made_up_frames(s)) for s in range(5))]
     kept, want = [], []
