@@ -127,6 +127,19 @@ def test_overlap_costs_a_few_comparisons_of_whole_texts(monkeypatch):
     assert sum(spent) < 5 * min(len(first), len(second)) ** 2
 
 
+def test_overlap_skips_sizes_by_what_shorter_beginnings_have_in_common(monkeypatch):
+    from scrollweave.functions import similarity as S
+
+    rng, spent, counted = random.Random(4), [], S._matched
+    monkeypatch.setattr(S, "_matched", lambda a, places, size, least=0: spent.append(size * size) or counted(a, places, size, least))
+    for letters in ("thaneriosn ", "abc", "a\u4e16\U0001f600 e"):
+        first, second = ("".join(rng.choice(letters) for _ in range(300)) for _ in range(2))
+        for threshold in (0.85, 0.9, 1.0):
+            spent.clear()
+            assert S.overlap(first, second, 20, threshold) == (-1, 0)
+            assert sum(spent) < 2.5 * 300**2
+
+
 def test_ratio_over_threshold_against_plain():
     from scrollweave.functions import similarity as S
 
@@ -186,6 +199,30 @@ def test_simple_dedup_against_plain(spark):
     assert [(r.video_id, r.text) for r in got] == want
 
 
+def test_recordings_go_through_many_tasks_as_a_stream(spark):
+    """However few bytes they are, and whatever batches cut them: frames out of order, null texts and a null recording, too."""
+    found, want = [], {}
+    for v in range(12):
+        texts = [t or None for t in made_up_frames(300 + v)]
+        name = None if v == 11 else f"v{v}"
+        found += [(name, k, k * 0.5, t, None if k % 2 else 0.9) for k, t in enumerate(texts)]
+        want[name] = plain_scroll([t or "" for t in texts])
+    random.Random(1).shuffle(found)
+    frames = spark.createDataFrame(found, "video_id string, frame_number int, timestamp_seconds double, full_text string, average_confidence double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        blocks = dedup.scroll_dedup(frames)
+        got = blocks.collect()
+        simple = dedup.simple_dedup(frames.selectExpr("video_id", "frame_number AS pos", "full_text AS text"))
+        assert simple.count() >= 12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {v: [r.text for r in sorted((r for r in got if r.video_id == v), key=lambda r: r.seq)] for v in want} == want
+    assert all(r.timestamp_seconds == r.source_frame * 0.5 and r.confidence == (None if r.source_frame % 2 else 0.9) and r.is_new for r in got)
+    for df in (blocks, simple):
+        assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and df.rdd.getNumPartitions() >= 32
+
+
 def test_scroll_dedup_and_stream_agree_with_plain(spark):
     from scrollweave.plans import views
 
