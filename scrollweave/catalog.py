@@ -207,7 +207,7 @@ def fuzzy_anti_lines(spark, d):
 
 
 def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    f = views.frames_text(spark, d).select("video_id", "frame_number", F.col("full_text").alias("b"))
+    f = views.frames_text(spark, d, costly=True).select("video_id", "frame_number", F.col("full_text").alias("b"))
     return f.withColumn("a", F.lag("b").over(Window.partitionBy("video_id").orderBy("frame_number")))
 
 

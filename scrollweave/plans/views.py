@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import spread
 
 #: Fixed values of the made-up recordings.
 NAMES = ("Alice Smith", "Bob Jones", "Carol Diaz")
@@ -47,10 +48,14 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata(videos, "table", 0.5, CLOCK)
 
 
-def frames_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """video_id, frame_number, timestamp_seconds, full_text, average_confidence: a frame shows three turns of a conversation."""
+def frames_text(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    """video_id, frame_number, timestamp_seconds, full_text, average_confidence: a frame shows three turns of a conversation.
+
+    ``costly`` is for what compares texts: conversations are spread over more tasks.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 0)
     c = table(spark, sf_dir, "conversations")
+    c = spread(c, "conv_id") if costly else c
     return c.select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("frame_number"), (F.col("turn") * 0.5).alias("timestamp_seconds"), F.array_join(F.collect_list("text").over(w), "\n").alias("full_text"), F.lit(0.9).alias("average_confidence"))
 
 

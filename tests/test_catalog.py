@@ -140,6 +140,13 @@ def test_overlap_skips_sizes_by_what_shorter_beginnings_have_in_common(monkeypat
             assert sum(spent) < 2.5 * 300**2
 
 
+@pytest.mark.parametrize("name", ["find_new_content", "find_overlap"])
+def test_compared_frames_go_through_many_tasks(spark, name):
+    df = catalog.queries()[name](spark, DATA)
+    assert df.rdd.getNumPartitions() >= 32
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_ratio_over_threshold_against_plain():
     from scrollweave.functions import similarity as S
 
