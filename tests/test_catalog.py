@@ -317,6 +317,34 @@ def test_entry_parser_line_by_line(spark, merge):
         assert got + parser.end() == want.get(i, [])
 
 
+def test_combined_json_is_one_list_of_finished_pieces(spark):
+    """The last task joins texts: it gets each recording as one entry, already as JSON, with odd letters and empty texts."""
+    import json
+    import re
+
+    from pyspark.sql import functions as F
+
+    from scrollweave.operators import formats
+
+    odd = 'a "b" \\ \t\u2028 \U0001f600 \x01\nnext  line'
+    texts = spark.createDataFrame([(2, "v\"2", odd), (1, "v1", ""), (3, "v3", None), (4, "v4", "plain words"), (None, "v0", "of no place")], "pos int, video_id string, raw_text string")
+    entries = spark.createDataFrame([("v\"2", 1, "Ann \"A\"", "10:00:00", 36000, odd, 0.91234), ("v\"2", 0, "", "09:00:00", 32400, "x", None)], "video_id string, entry_no int, speaker string, timestamp string, timestamp_seconds int, text string, confidence double")
+    df = formats.combined(texts, entries, kind="json")
+    said = json.loads(df.first().content)
+    assert list(said) == ["metadata", "videos", "combined_raw_text", "statistics"]
+    assert said["metadata"] == {"combined_from": ["v0", "v1", "v\"2", "v3", "v4"], "total_videos": 5, "deduplicated": False}
+    assert [v["filename"] for v in said["videos"]] == said["metadata"]["combined_from"]
+    assert said["videos"][2]["transcript"] == [{"speaker": "", "timestamp": "09:00:00", "timestamp_seconds": 32400, "text": "x"}, {"speaker": "Ann \"A\"", "timestamp": "10:00:00", "timestamp_seconds": 36000, "text": odd, "confidence": 0.912}]
+    assert said["combined_raw_text"] == f"of no place\n\n{odd}\n\nplain words"
+    assert said["statistics"] == {"total_words": len(said["combined_raw_text"].split())}
+    last = re.search(r"(?:Object|Sort|Hash)\w*Aggregate\(.*partial_collect_list.*partial_count\(1\).*|(?:Object|Sort|Hash)\w*Aggregate\(.*partial_count\(1\).*partial_collect_list.*", df._jdf.queryExecution().executedPlan().toString())
+    assert last and last[0].count("partial_collect_list(") == 1
+    for joined, want in (("a\nb \"c\"", {"combined_raw_text": "a\nb \"c\"", "statistics": {"total_words": 3}}), (None, {"statistics": {}})):
+        content = formats.combined(texts, entries, spark.range(1).select(F.lit(joined).cast("string").alias("content")), kind="json").first().content
+        assert {k: v for k, v in json.loads(content).items() if k not in ("metadata", "videos")} == want
+    assert formats.combined(texts.limit(0), entries, kind="json").first().content == ""
+
+
 def test_json_has_what_sql_says(spark, duck):
     import json
 
