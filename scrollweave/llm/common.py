@@ -27,6 +27,11 @@ def _few(df: DataFrame) -> int:
     return max(FILES * spark.sparkContext.defaultParallelism, min(-(-size // split), 1 << 30))
 
 
+def in_few(df: DataFrame) -> DataFrame:
+    """``df`` written by few tasks: partitions that are small for what is read don't become a file each."""
+    return df.coalesce(_few(df))
+
+
 def settle(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,7 +43,7 @@ def settle(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     if few:
-        df = df.coalesce(_few(df))
+        df = in_few(df)
     path = scratch(spark, name)
     # Row groups are held in memory until they are written, and when they are read.
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
@@ -50,17 +55,17 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str],
 
     Rows are ordered by ``bucket`` and then ``order``; ``bucket`` must be a
     function of the order, coarse enough to be summed per group. No task gets
-    a whole group: only the sums per bucket meet, and rows meet per bucket.
-    Groups may be null.
+    a whole group: only the sums per bucket meet, and rows meet per bucket. A
+    bucket's rows follow a row with the sum of all before it, so that they are
+    dealt and sorted once, without a join. Groups may be null.
     """
     rows = df.withColumn("_v", value)
     sums = rows.groupBy(*group, bucket).agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, bucket])), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_w", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    match = [rows[c].eqNullSafe(sums[f"_g{i}"]) for i, c in enumerate([*group, bucket])]
-    return rows.join(sums, match).withColumn(name, F.col("_b") + F.col("_w")).drop("_v", "_w", "_b", *(f"_g{i}" for i in range(len(group) + 1)))
+    sums = sums.select(*group, bucket, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_v"), F.lit(0).alias("_own"))
+    rows = rows.withColumn("_own", F.lit(1)).unionByName(sums, allowMissingColumns=True)
+    within = Window.partitionBy(*group, bucket).orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum("_v").over(within), F.lit(0))).filter("_own = 1").drop("_v", "_own")
 
 
 def word_count(text: Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum, settle, word_count
+from .common import in_few, running_sum, settle, word_count
 
 #: Weights of the sources, in turn; the mix in times of all words; the most a source is used.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2.0
@@ -96,17 +96,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.withColumnRenamed("source", "_src")
     slots = schedule(docs.sparkSession, plan.select(F.col("_src").alias("source"), "words"), block_words)
     full = placed.join(plan, placed.source.eqNullSafe(plan._src)).drop("_src")
-    # Where a document stands in its source's words, the first time and again.
+    # Where a document stands in its source's words, the first time and again. Each has a first time, if only beyond the
+    # target (no words then), so that no join has to bring back what isn't taken.
     turns = full.filter("size > 0").withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")))
     turns = turns.withColumn("a", F.col("p") + F.col("turn") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words")))
-    turns = turns.filter("a < b").select("source", "p", "turn", "a", "b", F.explode(F.expr(f"sequence(a div {block_words}, (b - 1) div {block_words})")).alias("r"))
+    turns = turns.filter("turn = 0 or a < b").withColumn("r", F.explode(F.expr(f"sequence(a div {block_words}, greatest(a, b - 1) div {block_words})")))
     slots = slots.withColumnsRenamed({"source": "_src", "r": "_r"})
-    held = turns.join(slots, turns.source.eqNullSafe(slots._src) & (turns.r == slots._r))
-    words = F.least("b", (F.col("r") + 1) * block_words) - F.greatest("a", F.col("r") * block_words)
-    taken = held.groupBy("source", "p").agg(F.sum(words).alias("taken"), F.min(F.when(F.col("turn") == 0, F.col("slot"))).alias("first_slot"), F.min(F.when(F.col("turn") == 1, F.col("slot"))).alias("second_slot"))
-    taken = taken.withColumnsRenamed({"source": "_src", "p": "_p"})
-    out = full.join(taken, full.source.eqNullSafe(taken._src) & (full.p == taken._p) & (full.size > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "second_slot", "source", "p")
+    held = turns.join(slots, turns.source.eqNullSafe(slots._src) & (turns.r == slots._r), "left")
+    held = held.withColumn("words", F.greatest(F.lit(0), F.least("b", (F.col("r") + 1) * block_words) - F.greatest("a", F.col("r") * block_words)))
+    first = lambda turn: F.min(F.when((F.col("turn") == turn) & (F.col("words") > 0), F.col("slot")))
+    key = ["source", "p", "doc_id", "size", "source_size", "target"]
+    taken = held.groupBy(*key).agg(F.sum("words").alias("taken"), first(0).alias("first_slot"), first(1).alias("second_slot"))
+    none = full.filter("size = 0").select(*key, F.lit(0).cast("long").alias("taken"), *(F.lit(None).cast("long").alias(c) for c in ("first_slot", "second_slot")))
+    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "second_slot", "source", "p")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -132,7 +134,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return in_few(mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot"))
 
 
 ORACLE_SQL = rf"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrollweave import llm
-from scrollweave.llm import bestfit_pack, block_names, chat_tools, dart_minhash, huffman_ids, language_spans, mix_schedule, quality_votes, secret_links, suffix_windows, tokens
+from scrollweave.llm import bestfit_pack, block_names, chat_tools, common, dart_minhash, huffman_ids, language_spans, mix_schedule, quality_votes, secret_links, suffix_windows, tokens
 
 from ..conftest import DATA, duck_rows, rows
 from .test_numpy import plain_counts, plain_em, plain_removed, plain_votes
@@ -145,6 +145,29 @@ def test_schedule_interleaves(spark):
         assert all(abs(k - s * n / 60) <= 3 for k, (s, _) in enumerate(own))
 
 
+def test_mix_is_written_by_few_tasks(spark):
+    odd = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in odd}
+    try:
+        for k, v in odd.items():
+            spark.conf.set(k, v)
+        found = llm.registered()["op4_mix_sources"](spark, DATA)
+        assert found.rdd.getNumPartitions() <= common.FILES * spark.sparkContext.defaultParallelism
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in mix_schedule.query(spark, DATA).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_running_sums_deal_rows_once(spark):
+    values = [(g, b, i, (i * 7 + b) % 5) for g in ("a", None, "") for b in range(3) for i in range(4)]
+    df = spark.createDataFrame([(*v, "x") for v in values] + [("b", None, None, None, None)], "g string, b int, i int, v int, more string")
+    got = common.running_sum(df, ["g"], "b", ["i"], F.col("v"), "s").select("g", "b", "i", "s", "more")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = {(g, b, i, sum(w for h, c, j, w in values if h == g and (c, j) < (b, i)), "x") for g, b, i, _ in values}
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, plain | {("b", None, None, 0, None)}))
+
+
 def test_mixed_documents_come_by_slot(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     at = {r.doc_id: (r.first_slot, r.second_slot, r.taken, r.size) for r in mix_schedule.mix(docs).collect()}
